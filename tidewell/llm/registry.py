@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from tidewell.llm.bpe import op7_bpe
 from tidewell.llm.chat import OP9_SQL, op9_chat_format
+from tidewell.llm.packing import op3_packing
 from tidewell.llm.token_ids import op2_token_ids
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
+    "op3_packing": op3_packing,
+    "op7_bpe": op7_bpe,
     "op9_chat_format": op9_chat_format,
 }
 ORACLE_SQL = {"op9_chat_format": OP9_SQL}
