@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from tidewell.llm.ann import op6_ann
 from tidewell.llm.bpe import op7_bpe
 from tidewell.llm.chat import OP9_SQL, op9_chat_format
+from tidewell.llm.exact_topk import OP8_SQL, op8_exact_topk
 from tidewell.llm.packing import op3_packing
 from tidewell.llm.token_ids import op2_token_ids
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op3_packing": op3_packing,
+    "op6_ann": op6_ann,
     "op7_bpe": op7_bpe,
+    "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
 }
-ORACLE_SQL = {"op9_chat_format": OP9_SQL}
+ORACLE_SQL = {"op8_exact_topk": OP8_SQL, "op9_chat_format": OP9_SQL}
