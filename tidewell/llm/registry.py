@@ -7,11 +7,13 @@ from tidewell.llm.bpe import op7_bpe
 from tidewell.llm.chat import OP9_SQL, op9_chat_format
 from tidewell.llm.exact_topk import OP8_SQL, op8_exact_topk
 from tidewell.llm.packing import op3_packing
+from tidewell.llm.pii import op5_pii
 from tidewell.llm.token_ids import op2_token_ids
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op3_packing": op3_packing,
+    "op5_pii": op5_pii,
     "op6_ann": op6_ann,
     "op7_bpe": op7_bpe,
     "op8_exact_topk": op8_exact_topk,
