@@ -8,11 +8,15 @@ from tidewell.llm.chat import OP9_SQL, op9_chat_format
 from tidewell.llm.exact_topk import OP8_SQL, op8_exact_topk
 from tidewell.llm.packing import op3_packing
 from tidewell.llm.pii import op5_pii
+from tidewell.llm.quality import op1_quality
 from tidewell.llm.token_ids import op2_token_ids
+from tidewell.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_token_ids": op2_token_ids,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_ann": op6_ann,
     "op7_bpe": op7_bpe,
