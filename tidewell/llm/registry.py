@@ -6,6 +6,7 @@ from tidewell.llm.ann import op6_ann
 from tidewell.llm.bpe import op7_bpe
 from tidewell.llm.chat import OP9_SQL, op9_chat_format
 from tidewell.llm.exact_topk import OP8_SQL, op8_exact_topk
+from tidewell.llm.near_dedup import op10_near_dedup
 from tidewell.llm.packing import op3_packing
 from tidewell.llm.pii import op5_pii
 from tidewell.llm.quality import op1_quality
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL = {"op8_exact_topk": OP8_SQL, "op9_chat_format": OP9_SQL}
