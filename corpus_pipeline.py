@@ -7,6 +7,7 @@ Parquet to the shared folder and read again, so that a lost executor costs one s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import near_dedup, packing, pii, quality, toxicity
 from tidewell.llm.common import stored, table
@@ -28,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
-    return pii.redact(docs)
+    """All documents, with personal data in their texts replaced by its kind and ``n_chars`` to match."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
