@@ -106,6 +106,13 @@ def json_shape(json: Column) -> Column:
     return F.replace(F.replace(bare, F.lit(": "), F.lit(":")), F.lit(", "), F.lit(","))
 
 
+def _list_turns(v: Column, path: str, role: str, text: str) -> Column:
+    """Turns of a message list with any names for its speakers and texts."""
+    each = F.try_variant_get(v, path, f"array<struct<`{role}`:string,`{text}`:string>>")
+    names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    return F.transform(each, lambda t: F.struct(F.coalesce(names[t[role]], t[role], F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+
+
 def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """conv_id, turn, role, text, layout of JSON documents in heterogeneous layouts.
 
@@ -118,10 +125,7 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     turns: Column = F.lit(None).cast("array<struct<role:string,text:string>>")
     for known, mapping in JSON_LAYOUTS.items():
         if mapping[0][0].startswith("$"):
-            path, role, text = mapping[0]
-            each = F.try_variant_get(v, path, f"array<struct<`{role}`:string,`{text}`:string>>")
-            names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-            canonical = F.transform(each, lambda t, role=role, text=text, names=names: F.struct(F.coalesce(names[t[role]], t[role], F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+            canonical = _list_turns(v, *mapping[0])
         else:
             canonical = F.array(*(F.struct(F.lit(role).alias("role"), text_at(path).alias("text")) for role, path in mapping))
         turns = F.when(shape == known, canonical).otherwise(turns)

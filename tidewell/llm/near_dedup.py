@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.llm.common import gather, stored, table
 from tidewell.llm.components import components
@@ -59,7 +60,7 @@ def word_arrays(texts: pa.Array) -> list[np.ndarray]:
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all runs of five words, each mixed with the number of its earlier occurrences."""
+    """64-bit hashes of all runs of five words; a repeated one is mixed with the number of its earlier occurrences."""
     n = len(words) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -72,7 +73,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
     if same.any():
         first = np.concatenate([[0], np.flatnonzero(~same) + 1])
         number = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-        out[order] = _mix(out[order] + number.astype(np.uint64) * _P)
+        again = order[number > 0]
+        out[again] = _mix(out[again] + number[number > 0].astype(np.uint64) * _P)
     return out
 
 
@@ -140,14 +142,15 @@ def aligned(a: list[int], b: list[int], least: float) -> float:
 _SKETCHED = "deal long, key binary, n int, sketches array<long>, words binary"
 
 
-def sketched(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row with a row number, the digest of its words, the number of its shingles, its
-    sketches and words. A text without words has the digest of its stripped self; a null counts as empty."""
+def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    """``columns`` of every row as a struct ``row``, with a row number, the digest of its words, the number of its
+    shingles, its sketches and words. A text without words has the digest of its stripped self; a null counts
+    as empty."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(1)
             keys, ns, all_sketches, blobs = [], [], [], []
             for i, words in enumerate(word_arrays(column)):
                 raw = words.tobytes()
@@ -158,13 +161,13 @@ def sketched(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
                 blobs.append(raw)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.arange(row, row + n)), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(all_sketches, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
-                [*keep, "deal", "key", "n", "sketches", "words"],
+                [batch.column(0), pa.array(np.arange(row, row + n)), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(all_sketches, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
+                ["row", "deal", "key", "n", "sketches", "words"],
             )
             row += n
 
-    chosen = df.select(*keep, F.col(text_col).cast("string").alias("__words_of"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), _SKETCHED])
+    chosen = df.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([*chosen.select("row").schema.fields, *StructType.fromDDL(_SKETCHED).fields])
     return stored(chosen.mapInArrow(rows, schema), "near-sketches")
 
 
@@ -227,7 +230,7 @@ def classes(sketches: DataFrame, id_col: str) -> DataFrame:
     """(deal, doc_id, class_id, class_size, kept) of every row: its class has the least id of all its members, and
     the first row with that id is kept."""
     roots = components(links(sketches))
-    rows = sketches.select("deal", F.col(id_col).cast("long").alias("doc_id"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = sketches.select("deal", F.col("row")[id_col].cast("long").alias("doc_id"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "deal")).alias("first")
     whole = rows.groupBy("root").agg(first, F.count("*").alias("class_size"))
     return rows.join(whole, "root").select("deal", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("deal") == F.col("first.deal")).alias("kept"))
@@ -246,9 +249,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that are kept of their classes."""
-    kept = sketched(df, text_col, df.columns)
-    dropped = classes(kept, id_col).where(~F.col("kept")).select("deal")
-    return kept.select("deal", *df.columns).join(dropped, "deal", "left_anti").select(*df.columns)
+    rows = sketched(df, text_col, df.columns)
+    dropped = classes(rows, id_col).where(~F.col("kept")).select("deal")
+    return rows.select("deal", "row").join(dropped, "deal", "left_anti").select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
 #: Bound of the training sample: documents drawn by the lowest hash of their id, and windows of them.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 600
+#: Documents drawn before those with digits are picked out of them.
+DRAWN_DOCS = 8000
 EPOCHS, RATE, DECAY = 6, 0.4, 1e-3
 
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -289,11 +291,14 @@ def training_examples(texts: Iterable[str]) -> list[tuple[str, list[Span]]]:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SemiCrf:
-    """Learns from ``SAMPLE_DOCS`` documents with digits, those of the lowest id hashes; at most
-    ``SAMPLE_WINDOWS`` windows of them are used."""
-    texts = df.select(F.xxhash64(F.col(id_col).cast("long"), F.lit(5)).alias("h"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\+[0-9]|@[a-z]|[0-9]{3}"))
+    """Learns from ``SAMPLE_DOCS`` documents with digits at most, drawn by the hash of their id; at most
+    ``SAMPLE_WINDOWS`` windows of them are used. What reaches the driver has the bound of the draw."""
+    key = F.col(id_col).cast("long")
+    share = max(1, df.count() // DRAWN_DOCS)
+    drawn = df.where(F.pmod(F.xxhash64(key, F.lit("draw")), F.lit(share)) == 0)
+    texts = drawn.select(F.xxhash64(key, F.lit(5)).alias("h"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\+[0-9]|@[a-z]|[0-9]{3}"))
     # a sample row carries the parts of its text around digits alone
-    parts = F.array_join(F.slice(F.regexp_extract_all("t", F.lit(r"(?s).{0,80}(?:[0-9@].{0,80})+"), F.lit(0)), 1, 8), "\n")
+    parts = F.array_join(F.slice(F.regexp_extract_all("t", F.lit(r"(?s).{0,80}(?:[0-9@].{0,80}){1,20}"), F.lit(0)), 1, 8), "\n")
     rows = texts.select("h", F.substring(parts, 1, 4000).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     return train(training_examples(r["t"] for r in rows))
 
