@@ -1,0 +1 @@
+"""Catalogue engine on Spark: decoding, identity, scoring, lifecycle, search."""
