@@ -85,19 +85,32 @@ def near(canonical_text: Column, left: Iterable[str], right: Iterable[str], dist
 
 
 def within_context(canonical_text: Column, terms: Iterable[str], context: Iterable[str], width: int) -> Column:
-    """Whether a phrase of ``context`` lies within ``width`` characters around a phrase of ``terms``."""
+    """Whether a phrase of ``context`` lies within ``width`` characters around a phrase of ``terms``.
+
+    The window may cut words at its ends; a cut word counts as one. The text is split at the term,
+    and a window is put together from the ends of as many pieces as can reach into it.
+    """
     padded = F.concat(F.lit(" "), canonical_text, F.lit(" "))
-    wanted = [c for c in context if c]
+    wanted = F.array(*(F.lit(f" {c} ") for c in context if c))
     result = F.lit(False)
     for term in terms:
-        needle = f" {term} "
-        # overlapping occurrences: the closing space of one may open the next
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded))), lambda i: F.substr(padded, i, F.lit(len(needle))) == needle)
-        hit = F.exists(starts, lambda i: F.exists(F.array(*map(F.lit, wanted)), lambda c: F.contains(F.concat(F.lit(" "), F.substr(padded, F.greatest(F.lit(1), i - width), F.least(i - 1, F.lit(width)) + len(needle) + width), F.lit(" ")), F.concat(F.lit(" "), c, F.lit(" ")))))  # noqa: B023
-        result = result | (F.contains(padded, F.lit(needle)) & hit)
+        reach = width // (len(term) + 1) + 2
+        pieces = F.split(padded, f"(?<= ){re.escape(term)}(?= )")
+        result = result | F.exists(_windows(pieces, term, width, reach), lambda w: F.exists(wanted, lambda c: F.contains(F.concat(F.lit(" "), w, F.lit(" ")), c)))
     return result
 
 
+def _windows(pieces: Column, term: str, width: int, reach: int) -> Column:
+    heads, tails = F.transform(pieces, lambda p: F.left(p, F.lit(width + 1))), F.transform(pieces, lambda p: F.right(p, F.lit(width + 1)))
+
+    def window(k: Column) -> Column:
+        before = F.array_join(F.slice(tails, F.greatest(F.lit(1), k - reach + 1), F.least(k, F.lit(reach))), term)
+        after = F.array_join(F.slice(heads, k + 1, reach), term)
+        return F.concat(F.right(F.left(before, F.length(before) - 1), F.lit(width)), F.lit(f" {term} "), F.left(F.substr(after, F.lit(2)), F.lit(width)))
+
+    return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), window)).otherwise(F.array().cast("array<string>"))
+
+
 def slug(text: Column, separator: str = "-") -> Column:
     return F.regexp_replace(F.regexp_replace(normalize(text), "[^a-z0-9]+", separator), f"^{separator}+|{separator}+$", "")
 

@@ -246,7 +246,7 @@ def jsonld_expiry(spark, sf_dir):
     return rows.select("page_id", "ld", availability.page_verdict(F.lit(200), F.col("ld"), [], F.lit("2026-01-01").cast("date")).alias("verdict"))
 
 
-@query("""WITH q AS (SELECT r_regionkey AS profile_id, lower(n_name || ' ' || r_name) AS query, min(n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
+@query("""WITH q AS (SELECT r_regionkey AS profile_id, replace(lower(n_name || ' ' || r_name), '_', ' ') AS query, min(n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
 SELECT profile_id, query FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY place) AS n FROM q) WHERE n <= 4""")
 def query_plan(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
