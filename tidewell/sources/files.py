@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-POSTING = StructType.fromDDL(
+#: Columns of a posting row.
+POSTING = (
     "source string, source_job_id string, company string, title string, location string, url string, description string, published_at string, employment_type string, workplace_type string, "
     "salary string, source_type string, latitude double, longitude double, location_confidence string, detected_intents array<string>, course_scores map<string,int>, metadata string"
 )
