@@ -3,11 +3,12 @@
 Texts with the same words are one class from the start and take part once. Each distinct text has
 ``SKETCHES`` sketches: the ``PICKS`` least of its five-word shingles under one hash function, each
 labelled by its occurrence number, hashed in the order in which they stand in the text. Texts
-that share a sketch meet in a bucket. A bucket's least member is its centre, and every other
-member is compared with it, so that comparisons grow with the members and not with their square.
-Members that are not linked to the centre go on to the next round with further centres, more of
-them each round, until every bucket is settled; members that are linked stay for comparison
-where the triangle inequality lets a link to an unsettled member exist.
+that share a sketch meet in a bucket. The member that meets the most others is the bucket's centre,
+and all members are compared with it, so that comparisons grow with the members and not with
+their square. Components of the links so far part each bucket; as long as it has several, further
+members become centres, more of them each round, and are compared with the members of other
+components. Before each round, texts fall out too many of whose shingles no other open text has:
+that settles texts that share a passage and nothing more.
 
 Two texts are linked when the multiset similarity of their five-word shingles is at least 0.8 and
 an alignment of their words, in a band that this similarity allows, keeps at least 0.8 of them.
@@ -31,11 +32,15 @@ from tidewell.llm.components import components
 from tidewell.llm.units import split_units, strings
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, PICKS = 16, 3
+SKETCHES, PICKS = 32, 5
 #: Centres of a bucket in the first round, and how that number grows from round to round.
-CENTRES, GROWTH = 1, 8
-#: Keys that may be broadcast to pick the candidates' words (24 MB); beyond it they are joined by shuffle.
+CENTRES, GROWTH = 4, 4
+#: Keys or row numbers that may be broadcast (24 MB); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 500_000
+#: Rows whose words and sketches a worker holds at a time.
+SLICE_ROWS = 1500
+#: Most cells of the table of shared shingles, as a power of two (two bits each), and bytes in a block of it.
+CELL_BITS, CELL_BLOCK = 25, 2048
 
 _WORD = re.compile(r"\w+")
 _FACTORS = np.random.default_rng(23).integers(1, 2**63, (2, SKETCHES), dtype=np.uint64) | np.uint64(1)
@@ -78,7 +83,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(labelled: np.ndarray) -> list[int]:
+def sketch(labelled: np.ndarray) -> np.ndarray:
     """The sketches of one text's labelled shingles."""
     hashed = _mix((labelled[None, :] ^ _FACTORS[0][:, None]) * _FACTORS[1][:, None])
     rows = np.arange(SKETCHES)
@@ -91,7 +96,7 @@ def sketch(labelled: np.ndarray) -> list[int]:
     out = rows.astype(np.uint64) * _P
     for i in range(places.shape[1]):
         out = _mix(out * _P + labelled[places[:, i]])
-    return out.view(np.int64).tolist()
+    return out.view(np.int64)
 
 
 def shingle_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -149,21 +154,20 @@ def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             column = batch.column(1)
-            keys, ns, all_sketches, blobs = [], [], [], []
+            keys, ns, sketches, blobs = [], [], [], []
             for i, words in enumerate(word_arrays(column)):
                 raw = words.tobytes()
                 keys.append(hashlib.blake2b(raw or (column[i].as_py() or "").strip().encode(), digest_size=16, key=b"" if raw else b"bare").digest())
                 labelled = shingles(words)
                 ns.append(len(labelled))
-                all_sketches.append(sketch(labelled) if len(labelled) else [])
+                sketches.append(sketch(labelled) if len(labelled) else np.zeros(0, np.int64))
                 blobs.append(raw)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.arange(row, row + n)), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(all_sketches, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
-                ["row", "deal", "key", "n", "sketches", "words"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketches)]), pa.int32()), pa.array(np.concatenate(sketches)))
+            columns_out = [batch.column(0), pa.array(np.arange(row, row + n)), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), lists, pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns_out, ["row", "deal", "key", "n", "sketches", "words"])
             row += n
 
     chosen = df.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -177,9 +181,13 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near, linked = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
-                near.append(shingle_similarity(shingles(a), shingles(b)))
+            known: dict[bytes, np.ndarray] = {}
+            for keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), "<u4") for v in keys[2:])
+                for key, ids in zip(keys, (a, b), strict=False):
+                    if key not in known:
+                        known[key] = shingles(ids)
+                near.append(shingle_similarity(known[keys[0]], known[keys[1]]))
                 linked.append(near[-1] >= SIMILARITY and aligned(a.tolist(), b.tolist(), SIMILARITY) > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "near", "linked"])
 
@@ -188,42 +196,121 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return joined.mapInArrow(compare, "a binary, b binary, near double, linked boolean")
 
 
+def shared_shingles(words: DataFrame, n_shingles: int) -> DataFrame:
+    """(key, shared): how many shingles of each text other texts of the table may have as well, at least as many
+    as they do have.
+
+    Shingles fall into a table of cells of bounded size that remembers what one and what several
+    texts have; two shingles in one cell only raise the count. Tasks send their cells in blocks,
+    blocks are merged as they stream in, and the driver gathers two bits a cell.
+    """
+    bits = min(max(16, (4 * n_shingles).bit_length()), CELL_BITS)
+    mask = np.uint64((1 << bits) - 1)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, more = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        for batch in batches:
+            for raw in batch.column(0):
+                at = (shingles(np.frombuffer(raw.as_buffer(), "<u4")) & mask).astype(np.int64)
+                more[at[one[at]]] = True
+                one[at] = True
+        packed = [np.packbits(x).reshape(-1, CELL_BLOCK) for x in (one, more)]
+        used = np.flatnonzero(packed[0].any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([p[i].tobytes() for i in used], pa.binary()) for p in packed)], ["block", "one", "more"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for block, one, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, more = np.frombuffer(one, np.uint8), np.frombuffer(more, np.uint8)
+                if block in known:
+                    one_before, more_before = known[block]
+                    one, more = one | one_before, more | more_before | (one & one_before)
+                known[block] = one, more
+        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), *(pa.array([v[i].tobytes() for v in known.values()], pa.binary()) for i in (0, 1))], ["block", "one", "more"])
+
+    schema = "block int, one binary, more binary"
+    n_blocks = (1 << bits) // 8 // CELL_BLOCK
+    several = np.zeros((n_blocks, CELL_BLOCK), np.uint8)
+    for block, raw in words.select("words").mapInArrow(cells, schema).repartition(min(64, n_blocks), "block").mapInArrow(merge, schema).select("block", "more").collect():
+        several[block] = np.frombuffer(raw, np.uint8)
+    table_of = words.sparkSession.sparkContext.broadcast(several.ravel())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = table_of.value
+        for batch in batches:
+            n = []
+            for raw in batch.column(1):
+                at = (shingles(np.frombuffer(raw.as_buffer(), "<u4")) & mask).astype(np.int64)
+                n.append(int((packed[at >> 3] >> (7 - (at & 7)) & 1).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["key", "shared"])
+
+    return words.select("key", "words").mapInArrow(count, "key binary, shared int")
+
+
+def pruned(members: DataFrame, words: DataFrame) -> DataFrame:
+    """Members of buckets without those that can be linked to no other member.
+
+    Two texts with n and m shingles need 0.8 / 1.8 * (n + m) in common. A text's shingles that no
+    other open text has are in common with none, and m is at least the least of the bucket and 0.8 n.
+    """
+    texts = members.select("key", "n").distinct()
+    n_texts, n_shingles = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keys = texts.select("key")
+    open_words = words.join(F.broadcast(keys) if n_texts <= BROADCAST_KEYS else keys, "key", "left_semi")
+    shared = stored(shared_shingles(open_words, int(n_shingles)), "near-shared")
+    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    needed = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.greatest(F.col("least").cast("double"), SIMILARITY * F.col("n")))
+    return members.join(shared, "key").join(least, "bucket").where(F.col("shared") >= needed - 1e-6).drop("shared", "least")
+
+
 def links(sketches: DataFrame) -> DataFrame:
-    """Verified links (a, b) between digests of distinct texts."""
+    """Verified links (a, b) between digests of distinct texts.
+
+    At first each text is compared with the heaviest centre of its buckets alone, which links most near
+    copies. From then on a centre is compared with all members of its bucket that are not in its
+    component yet, and then leaves the bucket. Members of a bucket's largest component need not be
+    centres: every pair of two components has a member outside it. A bucket with one component is settled.
+    """
     texts = sketches.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     members = texts.select("key", "n", F.explode("sketches").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    remaining = stored(members.join(shared, "bucket").withColumn("settled", F.lit(False)), "near-members")
-    candidates = stored(remaining.select("key").distinct(), "near-keys")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = stored(members.join(shared, "bucket"), "near-members")
+    weights = met.groupBy("key").agg(F.sum("size").alias("weight"))
+    remaining = stored(met.join(weights, "key").select("bucket", "key", "n", "weight"), "near-members")
+    # one row of each text that meets another gives its words
+    rows = sketches.groupBy("key").agg(F.min("deal").alias("deal"))
+    candidates = stored(weights.select("key").join(rows, "key").select("deal"), "near-keys")
     if candidates.count() <= BROADCAST_KEYS:
         candidates = F.broadcast(candidates)
-    words = stored(sketches.select("key", "words").join(candidates, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words")), "near-words")
+    words = stored(sketches.select("deal", "key", "words").join(candidates, "deal", "left_semi").select("key", "words"), "near-words")
     known: DataFrame | None = None
+    roots: DataFrame | None = None
     centres = CENTRES
     while True:
-        order = Window.partitionBy("bucket").orderBy("key")
-        chosen = remaining.where(~F.col("settled")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).select("bucket", F.col("key").alias("centre"), F.col("n").alias("n_centre"))
+        rooted = remaining.withColumn("root", F.col("key")) if roots is None else remaining.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+        open_buckets = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("largest")).where("parts > 1").drop("parts")
+        rooted = stored(pruned(stored(rooted.join(open_buckets, "bucket"), "near-members"), words), "near-members")
+        if rooted.isEmpty():
+            return known.where("linked").select("a", "b") if known is not None else members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+        eligible = rooted if roots is None else rooted.where("root <> largest")
+        order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")
+        chosen = stored(eligible.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).select("bucket", F.col("key").alias("centre"), F.col("n").alias("n_centre"), F.col("weight").alias("weight_centre"), F.col("root").alias("root_centre")), "near-centres")
         close = F.least("n", "n_centre") >= SIMILARITY * F.greatest("n", "n_centre") - 1e-9
-        met = stored(remaining.join(chosen, "bucket").where(F.col("key") != F.col("centre")).select("bucket", "key", "centre", close.alias("close"), F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")), "near-met")
-        pairs = met.where("close").select("a", "b").distinct()
+        met = rooted.join(chosen, "bucket").where((F.col("root") != F.col("root_centre")) & close)
+        if roots is None:  # of its buckets' centres a text first meets the one that meets most others
+            met = met.groupBy("key").agg(F.max_by("centre", F.struct("weight_centre", "centre")).alias("centre"))
+        pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         found = stored(verify(pairs, words), "near-verified")
         known = found if known is None else known.unionByName(found)
-        # what each member of a bucket has become in this round
-        seen = met.join(known, ["a", "b"], "left").groupBy("bucket", "key").agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"), F.max(F.coalesce("near", F.lit(0.0))).alias("near"))
-        gone = chosen.select("bucket", F.col("centre").alias("key"), F.lit(True).alias("was_centre"))
-        after = remaining.join(seen, ["bucket", "key"], "left").join(gone, ["bucket", "key"], "left").where(F.col("was_centre").isNull()).withColumn("settled", F.col("settled") | F.coalesce("linked", F.lit(False)))
-        # distances obey the triangle inequality: a member linked to a centre (distance <= 0.2) can only be
-        # linked to one whose distance from that centre is at most 0.4
-        open_buckets = after.groupBy("bucket").agg(F.sum((~F.col("settled")).cast("int")).alias("open"), F.max(F.when(~F.col("settled"), F.coalesce("near", F.lit(0.0)))).alias("nearest")).where("open > 0")
-        remaining = stored(
-            after.drop("near").join(open_buckets, "bucket").where((~F.col("settled") & ((F.col("open") > 1) | (F.col("nearest") >= 2 * SIMILARITY - 1))) | (F.col("settled") & (F.col("nearest") >= 2 * SIMILARITY - 1))).select("key", "n", "bucket", "settled"),
-            "near-members",
-        )
-        if remaining.isEmpty():
-            return known.where("linked").select("a", "b")
-        centres *= GROWTH
+        remaining = rooted.select("bucket", "key", "n", "weight")
+        if roots is not None:
+            remaining = remaining.join(chosen.select("bucket", F.col("centre").alias("key")), ["bucket", "key"], "left_anti")
+            centres *= GROWTH
+        roots = components(known.where("linked").select("a", "b"))
 
 
 def classes(sketches: DataFrame, id_col: str) -> DataFrame:
@@ -250,7 +337,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that are kept of their classes."""
     rows = sketched(df, text_col, df.columns)
-    dropped = classes(rows, id_col).where(~F.col("kept")).select("deal")
+    dropped = stored(classes(rows, id_col).where(~F.col("kept")).select("deal"), "near-dropped")
+    if dropped.count() <= BROADCAST_KEYS:
+        dropped = F.broadcast(dropped)
     return rows.select("deal", "row").join(dropped, "deal", "left_anti").select("row.*")
 
 
