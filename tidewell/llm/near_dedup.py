@@ -176,12 +176,12 @@ def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
 
 
 def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b, near, linked) of pairs of keys; ``near`` is their shingle similarity."""
+    """(a, b, near, linked) of pairs of texts; ``near`` is their shingle similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near, linked = [], []
-            known: dict[bytes, np.ndarray] = {}
+            known: dict[int, np.ndarray] = {}
             for keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), "<u4") for v in keys[2:])
                 for key, ids in zip(keys, (a, b), strict=False):
@@ -193,7 +193,7 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     of = lambda side: words.select(F.col("key").alias(side), F.col("words").alias(f"words_{side}"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "words_a", "words_b")
-    return joined.mapInArrow(compare, "a binary, b binary, near double, linked boolean")
+    return joined.mapInArrow(compare, "a long, b long, near double, linked boolean")
 
 
 def shared_shingles(words: DataFrame, n_shingles: int) -> DataFrame:
@@ -245,7 +245,7 @@ def shared_shingles(words: DataFrame, n_shingles: int) -> DataFrame:
                 n.append(int((packed[at >> 3] >> (7 - (at & 7)) & 1).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["key", "shared"])
 
-    return words.select("key", "words").mapInArrow(count, "key binary, shared int")
+    return words.select("key", "words").mapInArrow(count, "key long, shared int")
 
 
 def pruned(members: DataFrame, words: DataFrame) -> DataFrame:
@@ -265,25 +265,23 @@ def pruned(members: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def links(sketches: DataFrame) -> DataFrame:
-    """Verified links (a, b) between digests of distinct texts.
+    """Verified links (a, b) between distinct texts, each named by the least number of its rows.
 
     At first each text is compared with the heaviest centre of its buckets alone, which links most near
     copies. From then on a centre is compared with all members of its bucket that are not in its
     component yet, and then leaves the bucket. Members of a bucket's largest component need not be
     centres: every pair of two components has a member outside it. A bucket with one component is settled.
     """
-    texts = sketches.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    texts = sketches.where("n > 0").groupBy(F.col("key").alias("digest")).agg(F.min("deal").alias("key"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     members = texts.select("key", "n", F.explode("sketches").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = stored(members.join(shared, "bucket"), "near-members")
     weights = met.groupBy("key").agg(F.sum("size").alias("weight"))
     remaining = stored(met.join(weights, "key").select("bucket", "key", "n", "weight"), "near-members")
-    # one row of each text that meets another gives its words
-    rows = sketches.groupBy("key").agg(F.min("deal").alias("deal"))
-    candidates = stored(weights.select("key").join(rows, "key").select("deal"), "near-keys")
+    candidates = stored(weights.select("key"), "near-keys")
     if candidates.count() <= BROADCAST_KEYS:
         candidates = F.broadcast(candidates)
-    words = stored(sketches.select("deal", "key", "words").join(candidates, "deal", "left_semi").select("key", "words"), "near-words")
+    words = stored(sketches.select(F.col("deal").alias("key"), "words").join(candidates, "key", "left_semi"), "near-words")
     known: DataFrame | None = None
     roots: DataFrame | None = None
     centres = CENTRES
@@ -298,7 +296,11 @@ def links(sketches: DataFrame) -> DataFrame:
         order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")
         chosen = stored(eligible.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).select("bucket", F.col("key").alias("centre"), F.col("n").alias("n_centre"), F.col("weight").alias("weight_centre"), F.col("root").alias("root_centre")), "near-centres")
         close = F.least("n", "n_centre") >= SIMILARITY * F.greatest("n", "n_centre") - 1e-9
-        met = rooted.join(chosen, "bucket").where((F.col("root") != F.col("root_centre")) & close)
+        # a pair that shares several buckets meets in the least of those in which the centre is one
+        own = rooted.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
+        its = chosen.groupBy("centre").agg(F.collect_set("bucket").alias("buckets_centre"))
+        once = F.array_min(F.array_intersect("buckets", "buckets_centre")) == F.col("bucket")
+        met = rooted.join(own, "key").join(chosen.join(its, "centre"), "bucket").where((F.col("root") != F.col("root_centre")) & close & once)
         if roots is None:  # of its buckets' centres a text first meets the one that meets most others
             met = met.groupBy("key").agg(F.max_by("centre", F.struct("weight_centre", "centre")).alias("centre"))
         pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
@@ -317,7 +319,8 @@ def classes(sketches: DataFrame, id_col: str) -> DataFrame:
     """(deal, doc_id, class_id, class_size, kept) of every row: its class has the least id of all its members, and
     the first row with that id is kept."""
     roots = components(links(sketches))
-    rows = sketches.select("deal", F.col("row")[id_col].cast("long").alias("doc_id"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    texts = sketches.groupBy("key").agg(F.min("deal").alias("node")).join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    rows = sketches.select("deal", F.col("row")[id_col].cast("long").alias("doc_id"), "key").join(texts, "key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "deal")).alias("first")
     whole = rows.groupBy("root").agg(first, F.count("*").alias("class_size"))
     return rows.join(whole, "root").select("deal", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("deal") == F.col("first.deal")).alias("kept"))
