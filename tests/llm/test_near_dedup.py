@@ -83,6 +83,31 @@ def test_large_groups_chains_and_shared_passages(planted):
     assert sorted(sorted(g, key=str) for g in groups.values()) == brute_classes([(r.doc_id, r.text) for r in planted.collect()])
 
 
+def test_short_pairs(spark):
+    """Pairs of similarity 0.8 and a little more: a word more at an end, or at both."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in [*[8] * 20, *[9] * 20, *[12] * 100, *range(10, 60)]:
+        words = [word() for _ in range(n)]
+        more = max(1, (n - 4) // 4)
+        texts += [words, [*words, *(word() for _ in range(more))] if n % 2 else [*(word() for _ in range(more)), *words]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    groups = found_classes(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(sorted(g) for g in groups.values()) == brute_classes(rows) == [[i, i + 1] for i in range(0, len(rows), 2)]
+
+
+def test_short_buckets_lose_no_pair():
+    rng = random.Random(9)
+    for _ in range(2000):
+        n = rng.randint(1, near_dedup.SHORT - 1)
+        a = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        gone = rng.randint(0, n // 5)
+        b = np.concatenate([a[gone:], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, n // 4))], np.uint64)])
+        if near_dedup.shingle_similarity(a, b) >= 0.8:
+            assert len(np.intersect1d(near_dedup.buckets(a), near_dedup.buckets(b)))
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = near_dedup.near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()

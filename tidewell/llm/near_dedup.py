@@ -2,8 +2,9 @@
 
 Texts with the same words are one class from the start and take part once. Each distinct text has
 ``SKETCHES`` sketches: the ``PICKS`` least of its five-word shingles under one hash function, each
-labelled by its occurrence number, hashed in the order in which they stand in the text. Texts
-that share a sketch meet in a bucket. The member that meets the most others is the bucket's centre,
+labelled by its occurrence number, hashed in the order in which they stand in the text. Short texts
+have their least shingles themselves instead, as many as every linked pair must share one of. Texts
+that share a sketch or such a shingle meet in a bucket. The member that meets the most others is the bucket's centre,
 and all members are compared with it, so that comparisons grow with the members and not with
 their square. Components of the links so far part each bucket; as long as it has several, further
 members become centres, more of them each round, and are compared with the members of other
@@ -33,6 +34,8 @@ from tidewell.llm.units import split_units, strings
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 32, 5
+#: Texts of fewer shingles are found by their least shingles instead of sketches.
+SHORT = 40
 #: Centres of a bucket in the first round, and how that number grows from round to round.
 CENTRES, GROWTH = 4, 4
 #: Keys or row numbers that may be broadcast (24 MB); beyond it they are joined by shuffle.
@@ -99,6 +102,29 @@ def sketch(labelled: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def prefix(labelled: np.ndarray) -> np.ndarray:
+    """The least shingles of one text, so many that two texts of at least ``SIMILARITY`` share one of them.
+
+    The text has k = ceil(0.8 n) shingles in common with any such other one, so the least common one is
+    among its n - k + 1 least, and likewise in the other text.
+    """
+    n = len(labelled)
+    least = np.sort(labelled)[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+    return _mix(least * _P + np.uint64(SKETCHES)).view(np.int64)
+
+
+def buckets(labelled: np.ndarray) -> np.ndarray:
+    """The buckets of one text. One of fewer than ``SHORT`` shingles can only be linked to such of fewer than
+    ``SHORT / SIMILARITY``, and both have prefixes."""
+    n = len(labelled)
+    parts = [np.zeros(0, np.int64)]
+    if 0 < n < SHORT / SIMILARITY:
+        parts.append(prefix(labelled))
+    if n >= SHORT:
+        parts.append(sketch(labelled))
+    return np.concatenate(parts)
+
+
 def shingle_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Multiset Jaccard similarity of two texts' labelled shingles."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -149,7 +175,7 @@ _SKETCHED = "deal long, key binary, n int, sketches array<long>, words binary"
 
 def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
     """``columns`` of every row as a struct ``row``, with a row number, the digest of its words, the number of its
-    shingles, its sketches and words. A text without words has the digest of its stripped self; a null counts
+    shingles, its buckets as ``sketches`` and its words. A text without words has the digest of its stripped self; a null counts
     as empty."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +188,7 @@ def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
                 keys.append(hashlib.blake2b(raw or (column[i].as_py() or "").strip().encode(), digest_size=16, key=b"" if raw else b"bare").digest())
                 labelled = shingles(words)
                 ns.append(len(labelled))
-                sketches.append(sketch(labelled) if len(labelled) else np.zeros(0, np.int64))
+                sketches.append(buckets(labelled))
                 blobs.append(raw)
             n = batch.num_rows
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketches)]), pa.int32()), pa.array(np.concatenate(sketches)))
