@@ -157,3 +157,34 @@ def test_related_documents_share_a_window():
     idf = np.ones(1024)
     pieces = packing.short_tail(list(packing.fill_windows(docs, packing.ShardIndex(docs, idf, 40.0), 120)), 120)
     assert {p[0] for p in pieces if p[3] == 0} == {0, 2, 4}
+
+
+def test_relatives_share_windows_with_many_shards(spark, monkeypatch):
+    """Groups of six texts that have two thirds of their words in common, in 12 shards and more."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 32)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common = [word() for _ in range(40)]
+    rows = []
+    for g in range(64):
+        own = [word() for _ in range(20)]
+        for _ in range(6):
+            words = [*own, *(word() for _ in range(5)), *(rng.choice(common) for _ in range(5))]
+            rng.shuffle(words)
+            rows.append((g, " ".join(words)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    pieces = packing.pack(docs, size=1024).collect()
+    assert len({p.sequence_id >> 32 for p in pieces}) >= 12
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence_id, set()).add(p.doc_id)
+    near = [any(rows[e][0] == rows[d][0] for w in windows.values() if d in w for e in w if e != d) for d in range(len(rows))]
+    assert np.mean(near) > 0.6  # 0.24 where shards are dealt by chance
+
+
+def test_shards_are_cut_where_neighbours_differ_most():
+    places = np.array([[1, 1], [1, 2], [3, 1], [3, 1], [4, 1], [4, 1], [4, 2], [4, 2]])
+    assert packing.cut_point(places) == 4
+    assert packing.cut_point(places[:2]) == 1
+    assert packing.cut_point(places[2:4]) == 1

@@ -1,8 +1,9 @@
 """Lexical retrieval packing.
 
-Documents are dealt evenly into shards by a hash fixed when their ids are stored. Each shard holds
-an inverted BM25 index over token ids, with document frequencies and the mean length of the whole
-corpus. A seed document opens a window of ``SEQUENCE`` ids; its best unused neighbours follow
+Documents are ordered by content: by MinHashes of their token ids in which a rare id weighs more, so
+that documents which share rare ids stand side by side, and copies next to each other. Shards are runs
+of that order, cut where neighbours have least in common. Each shard holds an inverted BM25 index over
+token ids, with document frequencies and the mean length of the whole corpus. A seed document opens a window of ``SEQUENCE`` ids; its best unused neighbours follow
 greedily. A document that does not fit is cut, and its rest opens the next window, so windows are
 full. What a shard has left over at the end becomes sequences of a power of two each, which need
 no padding.
@@ -13,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,8 @@ END_ID = 2
 VOCABULARY_SIZE = 1 << 16
 #: A shard holds about so many documents and ids: what bounds a task's memory.
 SHARD_DOCS, SHARD_IDS = 1024, 2_000_000
-#: Terms of a seed that are looked up, by falling BM25 weight.
-QUERY_TERMS = 24
+#: MinHashes that order the documents, and shards in a partition of that order.
+SIGNATURE, PARTITION_SHARDS = 4, 8
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -73,8 +73,7 @@ class ShardIndex:
         for i, ids in enumerate(docs):
             term, count = np.unique(ids, return_counts=True)
             weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / mean))
-            best = np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS] if len(term) > QUERY_TERMS else slice(None)
-            self.query.append(term[best])
+            self.query.append(term)
             terms.append(term)
             owners.append(np.full(len(term), i))
             weights.append(weight)
@@ -87,7 +86,7 @@ class ShardIndex:
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for the seed's heaviest terms."""
+        """BM25 of every document of the shard for the seed's terms."""
         slot = np.searchsorted(self.terms, self.query[seed])
         starts, counts = self.at[slot], self.counts[slot]
         where = np.arange(len(self.owners))
@@ -146,12 +145,36 @@ def short_tail(pieces: list[tuple[int, int, int, int, int]], size: int) -> list[
     return out
 
 
+def signature_ranks(weight: np.ndarray) -> np.ndarray:
+    """Place of each term in ``SIGNATURE`` random orders, in which a term comes first of a set with a chance in
+    proportion to its weight."""
+    draws = np.random.default_rng(29).exponential(size=(SIGNATURE, len(weight))) / np.maximum(weight, 1e-9)
+    return draws.argsort(1).argsort(1).astype(np.uint16)
+
+
+def signatures(blobs: pa.Array, ranks: np.ndarray) -> np.ndarray:
+    """The least place in each order of the ids of every document; no document is without ids."""
+    docs = [np.frombuffer(b.as_buffer(), "<u2") for b in blobs]
+    starts = np.cumsum([0, *map(len, docs)])[:-1]
+    flat = np.concatenate(docs)
+    return np.stack([np.minimum.reduceat(r[flat], starts) for r in ranks])
+
+
+def cut_point(places: np.ndarray) -> int:
+    """Where a full run of documents is cut: in its later half, before the last document that differs from its
+    neighbour in the earliest place of the signature."""
+    half = max(1, len(places) // 2)
+    differs = places[half:] != places[half - 1 : -1]
+    tie = np.where(differs.any(1), differs.argmax(1), places.shape[1])
+    return half + int(np.flatnonzero(tie == tie.min())[-1])
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_VOCABULARY, end_id: int = END_ID, size: int = SEQUENCE) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text counts as empty: its document is the end id alone. Repeated rows and rows that share
     or lack an id are packed each for itself; documents of any length are cut at window borders;
-    ties of a score go to the row stored first; an empty table gives no piece; other columns are
+    ties of a score go to the row first in the order; an empty table gives no piece; other columns are
     not read. Every id lies in exactly one piece.
     """
     spark = df.sparkSession
@@ -163,19 +186,48 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
         frequency[term] = n
     idf = spark.sparkContext.broadcast(np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)))
     mean = n_ids / max(n_docs, 1)
-    n_shards = max(1, -(-n_docs // SHARD_DOCS), -(-n_ids // SHARD_IDS))
-
-    def pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("deal", kind="stable")
-        docs = [np.frombuffer(b, "<u2") for b in rows["ids"]]
-        ids = rows["doc_id"].astype("Int64").tolist()
+    shard_docs = SHARD_DOCS
+    n_shards = max(1, -(-n_docs // shard_docs), -(-n_ids // SHARD_IDS))
+    # an id that one document alone has relates it to none
+    ranks = spark.sparkContext.broadcast(signature_ranks(np.where(frequency > 1, idf.value, 0)))
+    places = [f"place_{i}" for i in range(SIGNATURE)]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            signed = signatures(batch.column(2), ranks.value).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, signed)], ["deal", "doc_id", "ids", *places])
+
+    def pieces_of(docs: list[np.ndarray], keys: list, shard: int) -> pa.RecordBatch:
         pieces = short_tail(list(fill_windows(docs, ShardIndex(docs, idf.value, mean), size)), size)
-        return pd.DataFrame(
-            [(ids[d], start, n, crc_of_ids(docs[d][start : start + n]), len(docs[d]), int(key[0]) << 32 | window, offset) for d, start, n, window, offset in pieces], columns=_PIECES
-        ).astype({"doc_id": "Int64"})
-
-    dealt = encoded.where("kind = 0").select(F.pmod(F.xxhash64("deal"), F.lit(n_shards)).alias("shard"), "deal", "doc_id", "ids")
-    return dealt.groupBy("shard").applyInPandas(pack_shard, PIECES)
+        rows = [(keys[d], start, n, crc_of_ids(docs[d][start : start + n]), len(docs[d]), shard << 32 | window, offset) for d, start, n, window, offset in pieces]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], _PIECES)
+
+    def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 15
+        docs: list[np.ndarray] = []
+        keys: list = []
+        signed: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for key, blob, *at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                docs.append(np.frombuffer(blob, "<u2"))
+                keys.append(key)
+                signed.append(tuple(at))
+                held += len(docs[-1])
+                if len(docs) > 1 and (len(docs) > shard_docs or held > SHARD_IDS):
+                    cut = cut_point(np.array(signed))
+                    yield pieces_of(docs[:cut], keys[:cut], shard)
+                    shard += 1
+                    docs, keys, signed = docs[cut:], keys[cut:], signed[cut:]
+                    held = sum(map(len, docs))
+        if docs:
+            yield pieces_of(docs, keys, shard)
+
+    rows = encoded.where("kind = 0").select("deal", "doc_id", "ids")
+    signed = rows.mapInArrow(sign, ", ".join(["deal long, doc_id long, ids binary", *(f"{p} int" for p in places)]))
+    order = [*places, "deal"]
+    dealt = signed.repartitionByRange(-(-n_shards // PARTITION_SHARDS), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids", *places).mapInArrow(pack_shards, PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
