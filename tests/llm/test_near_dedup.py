@@ -75,6 +75,18 @@ def planted(spark):
         add([*(word() for _ in range(60)), *passage, *(word() for _ in range(60))])
     for _ in range(40):
         add([word() for _ in range(rng.randint(1, 80))])
+    menu = [(at, word()) for at in range(0, 150, 5) for _ in range(3)]
+    base = [word() for _ in range(150)]
+    for i in range(200):  # one to nine edits, some of them shared: linked ones, and many that are not
+        copy = list(base)
+        for _ in range(1 + i % 9):
+            at, new = rng.choice(menu) if rng.random() < 0.7 else (rng.randrange(150), word())
+            copy[at] = new
+        add(copy)
+    parts = [[word() for _ in range(30)] for _ in range(8)]
+    for _ in range(30):  # the same shingles in other orders: no links
+        rng.shuffle(parts)
+        add([w for p in parts for w in p])
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
@@ -83,6 +95,29 @@ def test_large_groups_chains_and_shared_passages(planted):
     assert sorted(sorted(g, key=str) for g in groups.values()) == brute_classes([(r.doc_id, r.text) for r in planted.collect()])
 
 
+def test_sharing_finds_all_linked_pairs_of_a_galaxy(spark):
+    """Against all pairs: members that are linked to one another but not both near the hub."""
+    rng = random.Random(6)
+    hub = list(range(100))
+    texts = [hub]
+    for _ in range(220):
+        text = list(texts[0] if rng.random() < 0.3 else rng.choice(texts))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = [rng.randrange(10**6)] * rng.choice((0, 1, 1, 1, 2))
+        texts.append(text)
+    sets = [near_dedup.shingles(np.array(t, np.uint32)) for t in texts]
+    rows = []
+    for i, x in enumerate(sets[1:], 1):
+        apart = np.setxor1d(sets[0], x)
+        rows.append((0, i, len(x), len(sets[0]), apart.view(np.int64).tolist(), i))
+    found = near_dedup.sharing(spark.createDataFrame(rows, "hub long, key long, n int, n_hub int, cells array<long>, root long"))
+    similar = lambda i, j: near_dedup.shingle_similarity(sets[i], sets[j]) >= 0.8
+    wanted = {(i, j) for j in range(1, len(texts)) for i in range(1, j) if similar(i, j) and not (similar(0, i) and similar(0, j))}
+    pairs = {(r.a, r.b) for r in found.collect()}
+    assert len(wanted) > 50 and wanted <= pairs and len(pairs) < 3 * len(wanted)
+
+
 def test_short_pairs(spark):
     """Pairs of similarity 0.8 and a little more: a word more at an end, or at both."""
     rng = random.Random(8)

@@ -4,12 +4,17 @@ Texts with the same words are one class from the start and take part once. Each
 ``SKETCHES`` sketches: the ``PICKS`` least of its five-word shingles under one hash function, each
 labelled by its occurrence number, hashed in the order in which they stand in the text. Short texts
 have their least shingles themselves instead, as many as every linked pair must share one of. Texts
-that share a sketch or such a shingle meet in a bucket. The member that meets the most others is the bucket's centre,
-and all members are compared with it, so that comparisons grow with the members and not with
-their square. Components of the links so far part each bucket; as long as it has several, further
-members become centres, more of them each round, and are compared with the members of other
-components. Before each round, texts fall out too many of whose shingles no other open text has:
-that settles texts that share a passage and nothing more.
+that share a sketch or such a shingle meet in a bucket. Texts too many of whose shingles no other text
+of any bucket has fall out: that settles texts that share a passage and nothing more.
+
+The pairs of a bucket are settled without forming them all, however many texts it holds:
+
+1. Every text is compared with one centre, the heaviest of its buckets' centres. Links give components.
+2. Each bucket whose members are in several components gets the heaviest text of its centre's component
+   as hub, and each member is compared with it. A galaxy is all that have one hub.
+3. Two members of a galaxy that are not both linked to the hub can only be linked to each other if they
+   differ from the hub in the same shingles, in a number that follows from both distances (see
+   :func:`sharing`). An index over the rarest of these differences finds all such pairs.
 
 Two texts are linked when the multiset similarity of their five-word shingles is at least 0.8 and
 an alignment of their words, in a band that this similarity allows, keeps at least 0.8 of them.
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,8 +41,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 32, 5
 #: Texts of fewer shingles are found by their least shingles instead of sketches.
 SHORT = 40
-#: Centres of a bucket in the first round, and how that number grows from round to round.
-CENTRES, GROWTH = 4, 4
+#: Shingles that only one of two texts of similarity ``SIMILARITY`` has, as a share of both their numbers.
+APART = (1 - SIMILARITY) / (1 + SIMILARITY)
 #: Keys or row numbers that may be broadcast (24 MB); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 500_000
 #: Rows whose words and sketches a worker holds at a time.
@@ -56,11 +61,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_arrays(texts: pa.Array) -> list[np.ndarray]:
-    """32-bit hashes of the lower-case words of each text."""
+    """64-bit hashes of the lower-case words of each text."""
     units, counts = split_units(texts)
     found = [_WORD.findall(u.lower()) for u in strings(units.dictionary)]
     n = np.fromiter(map(len, found), np.int64, len(found))
-    hashes = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=4).digest() for f in found for w in f), "<u4")
+    hashes = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for f in found for w in f), "<u8")
     use = units.indices.to_numpy()
     flat = gather(hashes, (np.cumsum(n) - n)[use], n[use])
     ends = np.concatenate([[0], np.cumsum(n[use])])[np.concatenate([[0], np.cumsum(counts)])]
@@ -68,12 +73,14 @@ def word_arrays(texts: pa.Array) -> list[np.ndarray]:
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all runs of five words; a repeated one is mixed with the number of its earlier occurrences."""
-    n = len(words) - SHINGLE + 1
-    if n < 1:
+    """64-bit hashes of all runs of five words, or of all words of a shorter text; a repeated one is mixed with the
+    number of its earlier occurrences."""
+    width = min(SHINGLE, len(words))
+    if not width:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
         out = out * _P + words[i : i + n].astype(np.uint64) + np.uint64(1)
     out = _mix(out)
     order = np.argsort(out, kind="stable")
@@ -186,10 +193,11 @@ def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
             for i, words in enumerate(word_arrays(column)):
                 raw = words.tobytes()
                 keys.append(hashlib.blake2b(raw or (column[i].as_py() or "").strip().encode(), digest_size=16, key=b"" if raw else b"bare").digest())
+                words = words.astype(np.uint32)  # what verification reads
                 labelled = shingles(words)
                 ns.append(len(labelled))
                 sketches.append(buckets(labelled))
-                blobs.append(raw)
+                blobs.append(words.tobytes())
             n = batch.num_rows
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketches)]), pa.int32()), pa.array(np.concatenate(sketches)))
             columns_out = [batch.column(0), pa.array(np.arange(row, row + n)), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), lists, pa.array(blobs, pa.binary())]
@@ -201,25 +209,51 @@ def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
     return stored(chosen.mapInArrow(rows, schema), "near-sketches")
 
 
+def _with_words(pairs: DataFrame, words: DataFrame, a: str, b: str) -> DataFrame:
+    of = lambda side: words.select(F.col("key").alias(side), F.col("words").alias(f"words_{side}"))
+    return pairs.join(of(a), a).join(of(b), b).select(a, b, f"words_{a}", f"words_{b}")
+
+
+def _word_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words and shingles of both texts of each row of (a, b, words of a, words of b)."""
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for *keys, raw_a, raw_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+        for key, raw in zip(keys, (raw_a, raw_b), strict=True):
+            if key not in known:
+                words = np.frombuffer(raw.as_buffer(), "<u4")
+                known[key] = words, shingles(words)
+        yield *known[keys[0]], *known[keys[1]]
+
+
 def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b, near, linked) of pairs of texts; ``near`` is their shingle similarity."""
+    """The pairs (a, b) of texts that are linked."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, linked = [], []
-            known: dict[int, np.ndarray] = {}
-            for keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), "<u4") for v in keys[2:])
-                for key, ids in zip(keys, (a, b), strict=False):
-                    if key not in known:
-                        known[key] = shingles(ids)
-                near.append(shingle_similarity(known[keys[0]], known[keys[1]]))
-                linked.append(near[-1] >= SIMILARITY and aligned(a.tolist(), b.tolist(), SIMILARITY) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "near", "linked"])
+            linked = [shingle_similarity(x, y) >= SIMILARITY and aligned(a.tolist(), b.tolist(), SIMILARITY) > 0 for a, x, b, y in _word_pairs(batch)]
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    of = lambda side: words.select(F.col("key").alias(side), F.col("words").alias(f"words_{side}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "words_a", "words_b")
-    return joined.mapInArrow(compare, "a long, b long, near double, linked boolean")
+    return _with_words(pairs, words, "a", "b").mapInArrow(compare, "a long, b long")
+
+
+def differences(galaxies: DataFrame, words: DataFrame) -> DataFrame:
+    """Of members (hub, key) of galaxies: ``n`` of the member and ``n_hub``, whether the two are ``linked``, and ``cells``,
+    the shingles that one of the two texts has and the other has not, each mixed with the hub."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, n_hub, linked, cells = [], [], [], [np.zeros(0, np.uint64)]
+            for hub, (a, x, b, y) in zip(batch.column(0).to_pylist(), _word_pairs(batch), strict=True):
+                apart = np.setxor1d(x, y, assume_unique=True)
+                n.append(len(y))
+                n_hub.append(len(x))
+                linked.append(len(apart) <= APART * (len(x) + len(y)) + 1e-9 and aligned(a.tolist(), b.tolist(), SIMILARITY) > 0)
+                cells.append(_mix(apart * _P + np.uint64(hub)))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cells[1:])]), pa.int32()), pa.array(np.concatenate(cells).view(np.int64)))
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(n_hub, pa.int32()), pa.array(linked, pa.bool_()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["hub", "key", "n", "n_hub", "linked", "cells"])
+
+    return _with_words(galaxies, words, "hub", "key").mapInArrow(compare, "hub long, key long, n int, n_hub int, linked boolean, cells array<long>")
 
 
 def shared_shingles(words: DataFrame, n_shingles: int) -> DataFrame:
@@ -271,7 +305,9 @@ def shared_shingles(words: DataFrame, n_shingles: int) -> DataFrame:
                 n.append(int((packed[at >> 3] >> (7 - (at & 7)) & 1).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["key", "shared"])
 
-    return words.select("key", "words").mapInArrow(count, "key long, shared int")
+    counted = stored(words.select("key", "words").mapInArrow(count, "key long, shared int"), "near-shared")
+    table_of.destroy()
+    return counted
 
 
 def pruned(members: DataFrame, words: DataFrame) -> DataFrame:
@@ -284,61 +320,89 @@ def pruned(members: DataFrame, words: DataFrame) -> DataFrame:
     n_texts, n_shingles = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     keys = texts.select("key")
     open_words = words.join(F.broadcast(keys) if n_texts <= BROADCAST_KEYS else keys, "key", "left_semi")
-    shared = stored(shared_shingles(open_words, int(n_shingles)), "near-shared")
+    shared = shared_shingles(open_words, int(n_shingles))
     least = members.groupBy("bucket").agg(F.min("n").alias("least"))
     needed = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.greatest(F.col("least").cast("double"), SIMILARITY * F.col("n")))
     return members.join(shared, "key").join(least, "bucket").where(F.col("shared") >= needed - 1e-6).drop("shared", "least")
 
 
-def links(sketches: DataFrame) -> DataFrame:
-    """Verified links (a, b) between distinct texts, each named by the least number of its rows.
+def _close(n: str, m: str) -> Column:
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9
+
+
+def _rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    """``df`` with the component of ``node``; a text without links is its own."""
+    return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
 
-    At first each text is compared with the heaviest centre of its buckets alone, which links most near
-    copies. From then on a centre is compared with all members of its bucket that are not in its
-    component yet, and then leaves the bucket. Members of a bucket's largest component need not be
-    centres: every pair of two components has a member outside it. A bucket with one component is settled.
+def _in_several(df: DataFrame, group: str) -> DataFrame:
+    """The groups that have members in several components."""
+    return df.groupBy(group).agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select(group)
+
+
+def sharing(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a galaxy in different components that can be linked and are not both as near
+    to the hub as linked texts are.
+
+    Let D be the shingles in which a text differs from its hub, and f = \\|D\\| - APART * (n - n_hub), which is
+    never negative; a text is as near as linked ones are where e = f - 2 * APART * n_hub is at most 0. Two
+    texts have 0.8 similarity only if they have (e_a + f_b) / 2 of their differences in common. Differences
+    are put in order, the most common of the galaxy last; if the first one that both texts have is the r-th
+    from the end for one of them, at most r are common. A text's differences are therefore indexed only as
+    long as the rest behind them suffices for any partner, and a partner must have
+    f >= e - 2 * APART * (its n - n_hub) so that its differences suffice as well.
     """
+    f = F.size("cells") - APART * (F.col("n") - F.col("n_hub"))
+    e = F.col("f") - 2 * APART * F.col("n_hub")
+    partner = F.greatest(F.lit(0.0), F.col("e") - 2 * APART * F.greatest(F.lit(0.0), F.col("n") / SIMILARITY - F.col("n_hub")))
+    measured = members.withColumn("f", f).withColumn("e", e)
+    # e is a multiple of a ninth of a shingle, so that no partner outside has less than a tenth
+    cells = stored(measured.select("hub", "key", F.when(F.col("e") > 1e-6, F.col("e") + partner).otherwise(F.col("f") + 0.1).alias("least"), F.explode("cells").alias("cell")), "near-cells")
+    common = cells.groupBy("cell").agg(F.count("*").alias("texts")).where("texts > 1")
+    behind = F.row_number().over(Window.partitionBy("hub", "key").orderBy(F.desc("texts"), F.desc("cell")))
+    index = cells.join(common, "cell").withColumn("behind", behind).where(2 * F.col("behind") >= F.col("least") - 1e-6).select("hub", "key", "cell", "behind")
+    index = stored(index.join(measured.select("hub", "key", "n", "e", "f", "root"), ["hub", "key"]).drop("hub"), "near-index")
+    side = lambda end: index.select("cell", *(F.col(c).alias(f"{c}_{end}") for c in ("key", "n", "e", "f", "root", "behind")))
+    suffices = F.col("e_a") + F.col("f_b") <= 2 * F.least("behind_a", "behind_b") + 1e-6
+    once = (F.col("e_b") <= 1e-6) | (F.col("key_a") < F.col("key_b"))
+    met = side("a").where("e_a > 1e-6").join(side("b"), "cell").where((F.col("root_a") != F.col("root_b")) & _close("n_a", "n_b") & suffices & once)
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+
+def links(sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between distinct texts, each named by the least number of its rows, that connect all that are linked."""
     texts = sketches.where("n > 0").groupBy(F.col("key").alias("digest")).agg(F.min("deal").alias("key"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     members = texts.select("key", "n", F.explode("sketches").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = stored(members.join(shared, "bucket"), "near-members")
-    weights = met.groupBy("key").agg(F.sum("size").alias("weight"))
-    remaining = stored(met.join(weights, "key").select("bucket", "key", "n", "weight"), "near-members")
-    candidates = stored(weights.select("key"), "near-keys")
-    if candidates.count() <= BROADCAST_KEYS:
-        candidates = F.broadcast(candidates)
+    weights = stored(met.groupBy("key").agg(F.sum("size").alias("weight")), "near-weights")
+    candidates = F.broadcast(weights.select("key")) if weights.count() <= BROADCAST_KEYS else weights.select("key")
     words = stored(sketches.select(F.col("deal").alias("key"), "words").join(candidates, "key", "left_semi"), "near-words")
-    known: DataFrame | None = None
-    roots: DataFrame | None = None
-    centres = CENTRES
-    while True:
-        rooted = remaining.withColumn("root", F.col("key")) if roots is None else remaining.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        open_buckets = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("largest")).where("parts > 1").drop("parts")
-        rooted = stored(pruned(stored(rooted.join(open_buckets, "bucket"), "near-members"), words), "near-members")
-        if rooted.isEmpty():
-            return known.where("linked").select("a", "b") if known is not None else members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-        eligible = rooted if roots is None else rooted.where("root <> largest")
-        order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")
-        chosen = stored(eligible.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).select("bucket", F.col("key").alias("centre"), F.col("n").alias("n_centre"), F.col("weight").alias("weight_centre"), F.col("root").alias("root_centre")), "near-centres")
-        close = F.least("n", "n_centre") >= SIMILARITY * F.greatest("n", "n_centre") - 1e-9
-        # a pair that shares several buckets meets in the least of those in which the centre is one
-        own = rooted.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
-        its = chosen.groupBy("centre").agg(F.collect_set("bucket").alias("buckets_centre"))
-        once = F.array_min(F.array_intersect("buckets", "buckets_centre")) == F.col("bucket")
-        met = rooted.join(own, "key").join(chosen.join(its, "centre"), "bucket").where((F.col("root") != F.col("root_centre")) & close & once)
-        if roots is None:  # of its buckets' centres a text first meets the one that meets most others
-            met = met.groupBy("key").agg(F.max_by("centre", F.struct("weight_centre", "centre")).alias("centre"))
-        pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        found = stored(verify(pairs, words), "near-verified")
-        known = found if known is None else known.unionByName(found)
-        remaining = rooted.select("bucket", "key", "n", "weight")
-        if roots is not None:
-            remaining = remaining.join(chosen.select("bucket", F.col("centre").alias("key")), ["bucket", "key"], "left_anti")
-            centres *= GROWTH
-        roots = components(known.where("linked").select("a", "b"))
+    members = stored(pruned(met.join(weights, "key").select("bucket", "key", "n", "weight"), words), "near-members")
+
+    heaviest = F.max_by(F.struct(F.col("key").alias("centre"), F.col("n").alias("n_centre"), F.col("weight").alias("weight_centre")), F.struct("weight", "key")).alias("centre")
+    members = stored(members.join(members.groupBy("bucket").agg(heaviest).select("bucket", "centre.*"), "bucket"), "near-members")
+    to_centre = members.where((F.col("key") != F.col("centre")) & _close("n", "n_centre")).groupBy("key").agg(F.max_by("centre", F.struct("weight_centre", "centre")).alias("centre"))
+    found = stored(verify(to_centre.select(F.col("key").alias("a"), F.col("centre").alias("b")), words), "near-links")
+    roots = components(found)
+
+    members = _rooted(members, roots, "key", "root")
+    members = _rooted(members.join(_in_several(members, "bucket"), "bucket"), roots, "centre", "root_centre")
+    hubs = weights.join(roots.withColumnRenamed("node", "key"), "key").groupBy(F.col("root").alias("root_centre")).agg(F.max_by("key", F.struct("weight", "key")).alias("hub"))
+    members = stored(members.join(hubs, "root_centre", "left").select("bucket", F.coalesce("hub", "centre").alias("hub"), "key", "n").where("key <> hub"), "near-members")
+    stars = stored(differences(members.select("hub", "key").distinct(), words), "near-stars")
+    found = stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(stars.where("linked").select(F.col("hub").alias("a"), F.col("key").alias("b"))), "near-links")
+    roots = components(found)
+
+    rooted = _rooted(stars, roots, "key", "root")
+    rooted = stored(rooted.join(_in_several(rooted, "hub"), "hub"), "near-stars")
+    pairs = sharing(rooted)
+    # texts that are near a hub but not aligned with it meet all others of that kind in their buckets
+    near = rooted.where(F.size("cells") <= APART * (F.col("n") + F.col("n_hub")) + 1e-6).select("hub", "key", "root", "linked")
+    meeting = members.select("bucket", "hub", "key").join(near, ["hub", "key"])
+    other = meeting.select("bucket", "hub", F.col("key").alias("other"), F.col("root").alias("root_other"))
+    twisted = meeting.where("not linked").join(other, ["bucket", "hub"]).where("root <> root_other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+    return found.unionByName(stored(verify(pairs.unionByName(twisted).distinct(), words), "near-links"))
 
 
 def classes(sketches: DataFrame, id_col: str) -> DataFrame:
@@ -356,7 +420,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, class_id, class_size, kept of every row.
 
     Texts with the same words, repeated rows included, share a class; so do null texts and empty ones.
-    Texts of fewer than five words have only such copies. The class id is the least id of the class
+    Texts of fewer than five words are one shingle and have only such copies. The class id is the least id of the class
     (null where all are null); one row of each class is kept. Other columns are not read; an empty
     table gives an empty one.
     """
