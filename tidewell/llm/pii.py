@@ -2,11 +2,11 @@
 
 The patterns find what is written the usual way. The field adds spelled variants of the same
 kinds (numbers without their plus sign, other separators, bracketed "at" and "dot"). It scores
-whole candidate segments: their shape, marks, digit count and borders, for the kinds that the
-segment can have by its check digit, octets or host. A dynamic
-program over segments of at most ``MAX_TOKENS`` tokens chooses borders and kinds of a window
-jointly. Only segments with an anchor (a digit, or a bracketed "at") can be an entity, so text
-outside the windows around anchors holds none and the whole text is decoded exactly.
+whole candidate segments: their shape, marks, digit count, check digit, octets, host and borders. A
+dynamic program over segments of at most ``MAX_TOKENS`` tokens chooses borders and kinds of a window
+jointly. Only segments with an anchor (a digit, or a bracketed "at") can be an entity, and none
+crosses a line end, so that windows of ``MAX_TOKENS`` tokens around the anchors of a line decode the
+whole text exactly; a span of more tokens is out of reach.
 
 Weights are learnt by maximum likelihood from a bounded sample of windows: pattern matches give
 silver spans, as they stand and respelled, and everything else in a window is outside.
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -29,10 +31,12 @@ from tidewell.llm.common import table, texts_of
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest candidate segment.
 MAX_TOKENS = 24
-#: Bound of the training sample: documents drawn by the lowest hash of their id, and windows of them.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 600
+#: Bound of the training sample: documents drawn by the lowest hash of their id, and windows drawn likewise of all of theirs.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 900
 #: Documents drawn before those with digits are picked out of them.
 DRAWN_DOCS = 8000
+#: Characters on both sides of a match in a training window.
+MARGIN = 60
 EPOCHS, RATE, DECAY = 6, 0.4, 1e-3
 
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,6 +47,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 _ANCHOR = re.compile(r"[0-9]+|[(\[{] ?(?:at|AT) ?[)\]}]")
 _BRACKETED = re.compile(r"[(\[{] ?(at|AT|dot|DOT) ?[)\]}]")
+_MARK_BEHIND, _MARK_BEFORE = re.compile(r" ?[(\[{] ?(?:at|AT|dot|DOT) ?[)\]}]"), re.compile(r"[(\[{] ?(?:at|AT|dot|DOT) ?[)\]}] ?$")
 
 
 class Span(NamedTuple):
@@ -101,32 +106,38 @@ def _plain(part: str) -> str:
     return _BRACKETED.sub(lambda m: "@" if m.group(1).lower() == "at" else ".", part)
 
 
-def possible_kinds(part: str) -> list[int]:
-    """Kinds that a segment can have at all: an address has a local part and a host with a dot, an ip
-    four octets, a card 16 to 19 digits with a right check digit, a phone number 8 to 15 digits."""
-    if any(c.isalpha() for c in part):
-        fits = re.fullmatch(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+", _plain(part))
-        return [0] if fits else [1] if re.fullmatch(r"[0-9]+(?: ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?[0-9]+){3}", part) else []
-    groups = re.findall("[0-9]+", part)
-    digits = "".join(groups)
-    kinds = []
-    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and "." in part:
-        kinds.append(1)
-    if 16 <= len(digits) <= 19 and luhn(digits):
-        kinds.append(2)
-    if 8 <= len(digits) <= 15 and re.fullmatch(r"[ ().+/0-9-]+", part):
-        kinds.append(3)
-    return kinds
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+")
+
+
+def possible_kinds(plain: str) -> list[int]:
+    """Kinds that a segment (bracketed marks written plainly) may have: an address has one word before its "at" and a
+    dot and one word at its end; with other letters than an address's there is no other kind. An ip has four groups
+    of digits, a card 13 to 19 digits, a phone number 7 to 15. What it takes beyond that, the weights tell."""
+    if "@" in plain[1:-1]:
+        local, _, host = plain.partition("@")
+        return [0] if "." in host[:-1] and " " not in local.rstrip() and " " not in host[host.rindex(".", 0, -1) + 1 :].strip() else []
+    if any(c.isalpha() for c in plain):
+        return []
+    n = sum(c.isdigit() for c in plain)
+    kinds = [1] if 4 <= n <= 12 and len(re.findall("[0-9]+", plain)) == 4 else []
+    return kinds + [2] * (13 <= n <= 19) + [3] * (7 <= n <= 15)
 
 
-def segment_features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
+def segment_features(text: str, start: int, end: int, plain: str) -> list[str]:
+    """Features of a whole segment; ``plain`` is it with bracketed marks written plainly."""
     part = text[start:end]
-    shape = re.sub("[0-9]+", lambda m: f"<{len(m.group())}>", re.sub(r"[^\W\d_]+", "a", _plain(part)))
+    shape = re.sub("[0-9]+", lambda m: f"<{len(m.group())}>", re.sub(r"[^\W\d_]+", "a", plain))
     marks = "".join(sorted(set(re.sub(r"[\w]", "", part))))
     edge = lambda c: "a" if c.isalpha() else "9" if c.isdigit() else c
     before, after = text[start - 1 : start], text[end : end + 1]
-    out = ["any", f"shape {shape}", f"marks {marks}", f"digits {sum(c.isdigit() for c in part)}", f"tokens {min(n_tokens, 8)}", f"first {edge(part[0])}", f"last {edge(part[-1])}"]
-    if before and before in "+@.-(_" or after and after in "@-_" or re.match(r"[.@]\w", text[end : end + 2]):
+    groups = re.findall("[0-9]+", plain)
+    digits = "".join(groups)
+    out = ["any", f"marks {marks}", f"first {edge(part[0])}", f"last {edge(part[-1])}"]
+    if "@" in plain:
+        out.append(f"address {bool(_ADDRESS.fullmatch(plain))} {'@' in part}")
+    else:
+        out += [f"shape {shape}", f"digits {len(digits)}", f"groups {min(len(groups), 8)}", f"check {luhn(digits)} {len(digits) > 15}", f"octets {all(len(g) < 4 and int(g) < 256 for g in groups)} {'.' in part}", f"unusual {bool(re.search(r'[^ ().+/0-9-]', part))}"]
+    if before and before in "+@.-(_" or after and after in "@-_" or re.match(r"[.@]\w", text[end : end + 2]) or _MARK_BEHIND.match(text, end) or _MARK_BEFORE.search(text, max(0, start - 9), start):
         out.append("torn")
     return out
 
@@ -137,37 +148,43 @@ def _inside_word(text: str, at: int) -> bool:
 
 def windows(text: str) -> Iterator[Window]:
     """Windows of a text with their candidate segments. Segments start and end at visible tokens
-    and not inside a word, hold an anchor and no line end."""
-    last = -1
-    group: list[tuple[int, int]] = []
-
-    def window(anchors: list[tuple[int, int]]) -> Window:
-        left, right = max(0, anchors[0][0] - 40), min(len(text), anchors[-1][1] + 40)
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, left, right)]
-        first_anchor = np.searchsorted([a for a, _ in anchors], [s for s, _ in tokens])
-        borders = [s for s, _ in tokens] + [tokens[-1][1]]
-        segments = []
-        for i, (s, _) in enumerate(tokens):
-            if text[s].isspace() or first_anchor[i] == len(anchors) or _inside_word(text, s):
-                continue
-            anchor_end = anchors[first_anchor[i]][1]
-            for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
-                e = tokens[j - 1][1]
-                if "\n" in text[tokens[j - 1][0] : e]:
-                    break
-                if e >= anchor_end and not text[e - 1].isspace() and not _inside_word(text, e):
-                    if kinds := possible_kinds(text[s:e]):
-                        segments.append((i, j, kinds, segment_features(text, s, e, j - i)))
-        return Window(borders, segments)
-
-    for m in _ANCHOR.finditer(text):
-        if group and m.start() - last > 80:
-            yield window(group)
-            group = []
-        group.append(m.span())
-        last = m.end()
-    if group:
-        yield window(group)
+    and not inside a word, hold an anchor and no line end. Anchors of a line with fewer than twice
+    ``MAX_TOKENS`` tokens between them share a window."""
+    line_end = -1
+    for first in _ANCHOR.finditer(text):
+        if first.start() < line_end:
+            continue
+        line_start = text.rfind("\n", 0, first.start()) + 1
+        line_end = text.find("\n", first.start())
+        line_end = len(text) if line_end < 0 else line_end
+        borders = [m.start() for m in _TOKEN.finditer(text, line_start, line_end)] + [line_end]
+        group: list[tuple[int, int]] = []  # token ranges of anchors
+        for m in _ANCHOR.finditer(text, first.start(), line_end):
+            at = bisect_left(borders, m.start()), bisect_left(borders, m.end())
+            if group and at[0] - group[-1][1] >= 2 * MAX_TOKENS:
+                yield _window(text, borders, group)
+                group = []
+            group.append(at)
+        yield _window(text, borders, group)
+
+
+def _window(text: str, borders: list[int], anchors: list[tuple[int, int]]) -> Window:
+    left, right = max(0, anchors[0][0] - MAX_TOKENS), min(len(borders) - 1, anchors[-1][1] + MAX_TOKENS)
+    segments = []
+    nearest = 0
+    for i in range(left, anchors[-1][0] + 1):
+        while anchors[nearest][0] < i:
+            nearest += 1
+        s = borders[i]
+        if anchors[nearest][1] - i > MAX_TOKENS or text[s].isspace() or _inside_word(text, s):
+            continue
+        for j in range(anchors[nearest][1], min(i + MAX_TOKENS, right) + 1):
+            e = borders[j]
+            if not text[e - 1].isspace() and not _inside_word(text, e):
+                plain = _plain(text[s:e])
+                if kinds := possible_kinds(plain):
+                    segments.append((i - left, j - left, kinds, segment_features(text, s, e, plain)))
+    return Window(borders[left : right + 1], segments)
 
 
 class SemiCrf:
@@ -268,46 +285,55 @@ def respelled(span: Span, part: str, turn: int) -> str:
     return part.replace(".", ("[.]", " . ", "(.)")[turn % 3])
 
 
-def training_examples(texts: Iterable[str]) -> list[tuple[str, list[Span]]]:
-    """Windows of text around matches as they stand, and the same with the match respelled."""
+def training_examples(text: str) -> list[tuple[str, list[Span]]]:
+    """Windows of a text around matches as they stand, the same with the match respelled, and one window without any."""
     out: list[tuple[str, list[Span]]] = []
-    for text in texts:
-        base = base_spans(text)
-        covered = sorted((s.start, s.end) for s in base)
-        for s in base:
-            left, right = max(0, s.start - 60), s.end + 60
-            inside = [Span(b.kind, b.start - left, b.end - left) for b in base if b.start >= left and b.end <= right]
-            out.append((text[left:right], inside))
-            if not any(b is not s and b.start < s.end + 30 and s.start - 30 < b.end for b in base):
-                before, new = text[max(0, s.start - 30) : s.start], respelled(s, text[s.start : s.end], len(out))
-                out.append((before + new + text[s.end : s.end + 30], [Span(s.kind, len(before), len(before) + len(new))]))
-        for m in _ANCHOR.finditer(text):  # windows without any match
-            if not any(a - 80 < m.end() and m.start() < b + 80 for a, b in covered):
-                out.append((text[max(0, m.start() - 60) : m.end() + 60], []))
-                break
-        if len(out) >= SAMPLE_WINDOWS:
+    base = base_spans(text)
+    for turn, s in enumerate(sorted(base, key=lambda s: (s.start, s.kind))):
+        left, right = max(0, s.start - MARGIN), s.end + MARGIN
+        inside = [Span(b.kind, b.start - left, b.end - left) for b in base if b.start >= left and b.end <= right]
+        out.append((text[left:right], inside))
+        if any(b is not s and b.start < s.end and s.start < b.end for b in base):
+            continue
+        # the same window with this match respelled: what stands behind it moves
+        new = respelled(s, text[s.start : s.end], turn + s.start)
+        moved = len(new) - (s.end - s.start)
+        others = [Span(b.kind, b.start + moved * (b.start >= s.end), b.end + moved * (b.start >= s.end)) for b in inside if b.start + left != s.start]
+        out.append((text[left : s.start] + new + text[s.end : right], [*others, Span(s.kind, s.start - left, s.start - left + len(new))]))
+    for m in _ANCHOR.finditer(text):
+        if not any(s.start - 80 < m.end() and m.start() < s.end + 80 for s in base):
+            out.append((text[max(0, m.start() - MARGIN) : m.end() + MARGIN], []))
             break
-    return out[:SAMPLE_WINDOWS]
+    return out
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SemiCrf:
-    """Learns from ``SAMPLE_DOCS`` documents with digits at most, drawn by the hash of their id; at most
-    ``SAMPLE_WINDOWS`` windows of them are used. What reaches the driver has the bound of the draw."""
+    """Learns from ``SAMPLE_WINDOWS`` windows at most, drawn by hash from all windows of ``SAMPLE_DOCS`` documents with
+    digits, which are drawn by the hash of their id. What reaches the driver has the bound of the draw."""
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, at, t, written(spans)) for h, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True) for at, (t, spans) in enumerate(training_examples(text))]
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.string()) for c in columns[2:])], ["h", "at", "text", "spans"])
+
     key = F.col(id_col).cast("long")
     share = max(1, df.count() // DRAWN_DOCS)
     drawn = df.where(F.pmod(F.xxhash64(key, F.lit("draw")), F.lit(share)) == 0)
-    texts = drawn.select(F.xxhash64(key, F.lit(5)).alias("h"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\+[0-9]|@[a-z]|[0-9]{3}"))
-    # a sample row carries the parts of its text around digits alone
-    parts = F.array_join(F.slice(F.regexp_extract_all("t", F.lit(r"(?s).{0,80}(?:[0-9@].{0,80}){1,20}"), F.lit(0)), 1, 8), "\n")
-    rows = texts.select("h", F.substring(parts, 1, 4000).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    return train(training_examples(r["t"] for r in rows))
+    texts = drawn.select(F.xxhash64(key, F.lit(5)).alias("h"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(r"\+[0-9]|@[a-z]|[0-9]{3}"))
+    found = texts.orderBy("h", "t").limit(SAMPLE_DOCS).mapInArrow(examples, "h long, at int, text string, spans string")
+    rows = found.orderBy(F.xxhash64("h", "at"), "text", "spans").limit(SAMPLE_WINDOWS).collect()
+    return train([(r["text"], [Span(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]) for r in rows])
 
 
 def all_spans(text: str, model: SemiCrf) -> tuple[list[Span], list[Span]]:
     """(pattern matches, those and what the field adds where no match lies), by kind and start."""
     base = base_spans(text)
-    taken = [(s.start, s.end) for s in base]
-    added = [s for s in model.spans(text) if not any(s.start < b and a < s.end for a, b in taken)]
+    taken = sorted((s.start, s.end) for s in base)
+    reach = list(accumulate((end for _, end in taken), max))
+    # matches that start before the end of s, of which one ends behind its start
+    free = lambda s: not (n := bisect_left(taken, (s.end,))) or reach[n - 1] <= s.start
+    added = [s for s in model.spans(text) if free(s)]
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s.kind), s.start))
 
 
