@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,14 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` bytes, which bounds what a worker holds for them."""
+    for batch in batches:
+        n = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose label may not be learnt: crc32(doc_id as text) mod 4 is 2. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

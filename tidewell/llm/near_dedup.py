@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewell.llm.common import gather, stored, table
+from tidewell.llm.common import gather, sliced, stored, table
 from tidewell.llm.components import components
 from tidewell.llm.units import split_units, strings
 
@@ -45,8 +45,6 @@ SHORT = 40
 APART = (1 - SIMILARITY) / (1 + SIMILARITY)
 #: Keys or row numbers that may be broadcast (24 MB); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 500_000
-#: Rows whose words and sketches a worker holds at a time.
-SLICE_ROWS = 1500
 #: Most cells of the table of shared shingles, as a power of two (two bits each), and bytes in a block of it.
 CELL_BITS, CELL_BLOCK = 25, 2048
 
@@ -187,7 +185,7 @@ def sketched(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+        for batch in sliced(batches):
             column = batch.column(1)
             keys, ns, sketches, blobs = [], [], [], []
             for i, words in enumerate(word_arrays(column)):
@@ -229,7 +227,7 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) of texts that are linked."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             linked = [shingle_similarity(x, y) >= SIMILARITY and aligned(a.tolist(), b.tolist(), SIMILARITY) > 0 for a, x, b, y in _word_pairs(batch)]
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
@@ -241,7 +239,7 @@ def differences(galaxies: DataFrame, words: DataFrame) -> DataFrame:
     the shingles that one of the two texts has and the other has not, each mixed with the hub."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, n_hub, linked, cells = [], [], [], [np.zeros(0, np.uint64)]
             for hub, (a, x, b, y) in zip(batch.column(0).to_pylist(), _word_pairs(batch), strict=True):
                 apart = np.setxor1d(x, y, assume_unique=True)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import WORD_VOCABULARY
-from tidewell.llm.common import crc_of_ids, gather, stored, table
+from tidewell.llm.common import crc_of_ids, gather, sliced, stored, table
 from tidewell.llm.units import library_encoder
 
 SEQUENCE = 4096
@@ -48,7 +48,7 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
         frequency = np.zeros(VOCABULARY_SIZE, np.int64)
         end = end_id.to_bytes(2, "little")
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             keys, blobs = batch.column(0), [b + end for b in encoder.encode(batch.column(1))]
             for blob in blobs:
                 frequency[np.unique(np.frombuffer(blob, "<u2"))] += 1

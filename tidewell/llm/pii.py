@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table, texts_of
+from tidewell.llm.common import sliced, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest candidate segment.
@@ -353,7 +353,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     model = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             cols: list[list] = [[] for _ in range(6)]
             for text in texts_of(batch.column(1)):
                 base, spans = all_spans(text, model.value)
@@ -384,7 +384,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     at = df.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             clean = [None if t is None else redacted(t, all_spans(t, model.value)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import held_out, table
+from tidewell.llm.common import held_out, sliced, table
 from tidewell.llm.labelled import labelled_sample
 from tidewell.llm.units import split_units, strings
 
@@ -71,7 +71,7 @@ def neighbour_sums(docs: DataFrame, text_col: str) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         total = np.zeros(TERMS * WIDTH)
-        for batch in batches:
+        for batch in sliced(batches):
             shape, word, counts = unit_arrays(batch.column(0))
             first = (np.cumsum(counts) - counts)[counts > 0]
             inside = np.ones(len(word), bool)
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = pooled(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -224,7 +224,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     at = docs.columns.index(text_col)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(shared.value.scores(batch.column(at)) >= THRESHOLD))
 
     return docs.mapInArrow(good, docs.schema)

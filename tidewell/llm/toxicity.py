@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import gather, held_out, stored, table
+from tidewell.llm.common import gather, held_out, sliced, stored, table
 from tidewell.llm.labelled import labelled_sample
 from tidewell.llm.units import split_units, strings
 
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     the driver gets is one count for each bucket and, of each sample row, the slots of chosen buckets."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, found = document_terms(batch.column(1))
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(found, pa.int32()))
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -233,7 +233,7 @@ def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "te
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < THRESHOLD))
 
     return docs.mapInArrow(clean, docs.schema)

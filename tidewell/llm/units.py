@@ -30,7 +30,7 @@ _STOPS = ".,;:!?"
 _LATIN = re.compile(f"[ \\n][{_LETTERS}]+").fullmatch
 
 #: Distinct words that a worker keeps ids of; the cache starts anew beyond it.
-MAX_WORDS = 600_000
+MAX_WORDS = 300_000
 
 
 def split_units(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
