@@ -48,7 +48,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("opportunity_id"),
         (F.col("l_linestatus") == "O").alias("is_active"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("last_seen_at"),
-        F.pmod(F.col("l_partkey"), F.lit(97)).cast("int").alias("check_key"),
+        F.col("l_partkey").cast("long").alias("check_key"),
     )
 
 
@@ -56,15 +56,15 @@ POSTINGS_SQL = """
 postings AS (
   SELECT l_returnflag AS source, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS source_job_id,
     l_orderkey AS opportunity_id, l_linestatus = 'O' AS is_active, strftime(l_shipdate, '%Y-%m-%d') AS last_seen_at,
-    CAST(l_partkey % 97 AS INTEGER) AS check_key
+    CAST(l_partkey AS BIGINT) AS check_key
   FROM lineitem
 )"""
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Availability overlay: a verdict for some of the check keys."""
+    """Availability overlay: the verdict of every labelled document; part keys of postings are its ids."""
     x = table(spark, sf_dir, "labels")
-    return x.where(F.col("doc_id") < 97).select(F.col("doc_id").cast("int").alias("check_key"), verdict_of(F.col("quality"), F.col("toxic")).alias("verdict"))
+    return x.select(F.col("doc_id").cast("long").alias("check_key"), verdict_of(F.col("quality"), F.col("toxic")).alias("verdict"))
 
 
 def verdict_of(quality, toxic):
@@ -73,8 +73,8 @@ def verdict_of(quality, toxic):
 
 CHECKS_SQL = """
 checks AS (
-  SELECT CAST(doc_id AS INTEGER) AS check_key, CASE WHEN toxic = 1 THEN 'unverified' WHEN quality = 1 THEN 'open' ELSE 'closed' END AS verdict
-  FROM labels WHERE doc_id < 97
+  SELECT CAST(doc_id AS BIGINT) AS check_key, CASE WHEN toxic = 1 THEN 'unverified' WHEN quality = 1 THEN 'open' ELSE 'closed' END AS verdict
+  FROM labels
 )"""
 
 

@@ -38,18 +38,18 @@ def guarded_delete(spark, sf_dir):
     return tracking.deletable(c.where("c_acctbal < 0").select("id"), references, "id")
 
 
-@query("""SELECT doc_id, CASE WHEN b IS NOT NULL THEN b ELSE a END AS lang, source FROM (SELECT doc_id, lang AS a, source FROM documents WHERE doc_id % 3 <> 0) FULL JOIN (SELECT doc_id, upper(lang) AS b FROM documents WHERE doc_id % 2 = 0) USING (doc_id)""")
+@query("""SELECT doc_id, CASE WHEN b IS NOT NULL THEN b ELSE a END AS lang, source FROM (SELECT doc_id, lang AS a, source FROM documents WHERE lang <> 'de') FULL JOIN (SELECT doc_id, upper(lang) AS b FROM documents WHERE lang <> 'fr') USING (doc_id)""")
 def copy_upsert(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    source = d.where("doc_id % 2 = 0").select("doc_id", F.upper("lang").alias("lang"), F.lit(1).alias("other"))
-    return tracking.copied(d.where("doc_id % 3 <> 0"), source, ["doc_id"])
+    source = d.where("lang <> 'fr'").select("doc_id", F.upper("lang").alias("lang"), F.lit(1).alias("other"))
+    return tracking.copied(d.where("lang <> 'de'"), source, ["doc_id"])
 
 
-@query("""SELECT doc_id, a AS old_group, b AS new_group FROM (SELECT doc_id, source AS a FROM documents WHERE doc_id % 5 <> 0) FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'src0' ELSE source END AS b FROM documents WHERE doc_id % 7 <> 0) USING (doc_id) WHERE a IS DISTINCT FROM b""")
+@query("""SELECT doc_id, a AS old_group, b AS new_group FROM (SELECT doc_id, source AS a FROM documents WHERE lang <> 'de') FULL JOIN (SELECT doc_id, CASE WHEN lang = 'es' THEN 'src0' ELSE source END AS b FROM documents WHERE lang <> 'fr') USING (doc_id) WHERE a IS DISTINCT FROM b""")
 def association_changes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    desired = d.where("doc_id % 7 <> 0").withColumn("source", F.when(F.col("doc_id") % 4 == 0, "src0").otherwise(F.col("source")))
-    return tracking.association_changes(d.where("doc_id % 5 <> 0"), desired, ["doc_id"], "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    desired = d.where("lang <> 'fr'").select("doc_id", F.when(F.col("lang") == "es", "src0").otherwise(F.col("source")).alias("source"))
+    return tracking.association_changes(d.where("lang <> 'de'").select("doc_id", "source"), desired, ["doc_id"], "source")
 
 
 @query("SELECT user_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS start, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 2")

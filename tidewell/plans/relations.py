@@ -25,9 +25,9 @@ def missing_postings_anti(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(postings(spark, sf_dir), F.col("id") == F.col("opportunity_id"), "left_anti")
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def broken_links_anti(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").where("doc_id % 3 = 0"), "doc_id", "left_anti")
+    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "left_anti")
 
 
 @query(f"{_P} SELECT DISTINCT opportunity_id FROM postings WHERE is_active")
@@ -150,9 +150,9 @@ def known_set_difference(spark, sf_dir):
 
 
 @query("""SELECT count(*) FILTER (a IS NULL) AS only_right, count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a = b) AS both_sides FROM
-  (SELECT doc_id AS a FROM labels) l FULL JOIN (SELECT doc_id AS b FROM documents WHERE doc_id % 2 = 0) r ON a = b""")
+  (SELECT doc_id AS a FROM labels) l FULL JOIN (SELECT doc_id AS b FROM documents WHERE lang = 'en') r ON a = b""")
 def shard_coverage(spark, sf_dir):
-    left, right = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("a")), table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("b"))
+    left, right = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("a")), table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("b"))
     return left.join(right, F.col("a") == F.col("b"), "full").agg(F.count_if(F.col("a").isNull()).alias("only_right"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a") == F.col("b")).alias("both_sides"))
 
 
@@ -170,31 +170,30 @@ def dedup_groups(spark, sf_dir):
     return identity.grouped(rows, "url", "pos", ["location_key"]).select("pos", "group_position")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 4 = 1 THEN 'changed' WHEN doc_id % 4 = 2 THEN 'reprocess' ELSE 'unchanged' END AS status FROM documents")
+@query("SELECT doc_id, CASE lang WHEN 'de' THEN 'new' WHEN 'fr' THEN 'changed' WHEN 'es' THEN 'reprocess' ELSE 'unchanged' END AS status FROM documents")
 def prepare_status(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", lifecycle.content_hash([F.col("text"), F.col("lang")]).alias("raw_hash"))
-    stored = d.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.reverse("raw_hash")).otherwise(F.col("raw_hash")).alias("raw_hash"), F.when(F.col("doc_id") % 4 == 2, "1").otherwise("2").alias("processing_version"))
-    return lifecycle.prepare(d, stored, ["doc_id"], "2").select("doc_id", "status")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", lifecycle.content_hash([F.col("text"), F.col("lang")]).alias("raw_hash"))
+    stored = d.where("lang <> 'de'").select("doc_id", F.when(F.col("lang") == "fr", F.reverse("raw_hash")).otherwise(F.col("raw_hash")).alias("raw_hash"), F.when(F.col("lang") == "es", "1").otherwise("2").alias("processing_version"))
+    return lifecycle.prepare(d.drop("lang"), stored, ["doc_id"], "2").select("doc_id", "status")
 
 
 @query("""SELECT doc_id, CASE WHEN old = 'closed' OR new IS NULL THEN old ELSE new END AS verdict, CASE WHEN old = 'closed' OR new IS NULL THEN 'a' ELSE 'b' END AS checked_at FROM
-  (SELECT doc_id, CASE WHEN quality = 0 THEN 'closed' ELSE 'open' END AS old FROM labels WHERE doc_id % 3 <> 0) FULL JOIN
-  (SELECT doc_id, CASE WHEN toxic = 1 THEN 'closed' ELSE 'unverified' END AS new FROM labels WHERE doc_id % 2 = 0) USING (doc_id)""")
+  (SELECT doc_id, CASE WHEN quality = 0 THEN 'closed' ELSE 'open' END AS old FROM labels) FULL JOIN
+  (SELECT doc_id, CASE WHEN lang = 'de' THEN 'closed' ELSE 'unverified' END AS new FROM documents WHERE lang <> 'en') USING (doc_id)""")
 def upsert_sticky_closed(spark, sf_dir):
-    x = table(spark, sf_dir, "labels")
-    old = x.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("quality") == 0, "closed").otherwise("open").alias("verdict"), F.lit("a").alias("checked_at"))
-    new = x.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("toxic") == 1, "closed").otherwise("unverified").alias("verdict"), F.lit("b").alias("checked_at"))
+    old = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "closed").otherwise("open").alias("verdict"), F.lit("a").alias("checked_at"))
+    new = table(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", F.when(F.col("lang") == "de", "closed").otherwise("unverified").alias("verdict"), F.lit("b").alias("checked_at"))
     return availability.sticky_merge(old, new, ["doc_id"])
 
 
-@query("""SELECT doc_id, CASE WHEN coalesce(a, 0) >= coalesce(b, 0) THEN a ELSE b END AS rank FROM (SELECT doc_id, doc_id % 4 AS a FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 0)
-  FULL JOIN (SELECT doc_id, doc_id % 7 % 4 AS b FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 % 4 <> 0) USING (doc_id)""")
+@query("""SELECT doc_id, CASE WHEN coalesce(a, 0) >= coalesce(b, 0) THEN a ELSE b END AS rank FROM (SELECT doc_id, quality + 2 * toxic AS a FROM labels WHERE quality + 2 * toxic > 0)
+  FULL JOIN (SELECT doc_id, CASE lang WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END AS b FROM documents WHERE lang <> 'es') USING (doc_id)""")
 def discoveries_monotone(spark, sf_dir):
     names = ["seen", "uncertain", "catalogued"]
-    d = table(spark, sf_dir, "documents").select("doc_id")
+    d = table(spark, sf_dir, "documents").where("lang <> 'es'")
     name = lambda n: F.element_at(F.array(*map(F.lit, names)), n.cast("int"))
-    old = d.where("doc_id % 5 <> 0 and doc_id % 4 <> 0").select("doc_id", name(F.col("doc_id") % 4).alias("status"))
-    new = d.where("doc_id % 2 = 0 and doc_id % 7 % 4 <> 0").select("doc_id", name(F.col("doc_id") % 7 % 4).alias("status"))
+    old = table(spark, sf_dir, "labels").where("quality + 2 * toxic > 0").select("doc_id", name(F.col("quality") + 2 * F.col("toxic")).alias("status"))
+    new = d.select("doc_id", name(F.when(F.col("lang") == "de", 3).when(F.col("lang") == "fr", 2).otherwise(1)).alias("status"))
     merged = lifecycle.monotone_status(old, new, ["doc_id"], names)
     return merged.select("doc_id", F.array_position(F.array(*map(F.lit, names)), F.col("status")).alias("rank"))
 
@@ -229,8 +228,7 @@ def mark_seen_counter(spark, sf_dir):
     return lifecycle.upsert(stored, came, ["k"], "seen_count")
 
 
-@query("""SELECT a.doc_id FROM documents a JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'zz' ELSE lang END AS lang, source FROM documents) b USING (doc_id) WHERE a.lang IS DISTINCT FROM b.lang OR a.source IS DISTINCT FROM b.source
-  UNION ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 99""")
+@query("""SELECT a.doc_id FROM documents a JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'zz' ELSE lang END AS lang, source FROM documents) b USING (doc_id) WHERE a.lang IS DISTINCT FROM b.lang OR a.source IS DISTINCT FROM b.source""")
 def delta_changed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return lifecycle.changed_rows(d, d.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "zz").otherwise(F.col("lang"))), ["doc_id"], ["lang", "source"])

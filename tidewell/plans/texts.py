@@ -43,11 +43,11 @@ def proximity(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(text.near(text.canonical(F.col("text")), ["idiot", "moron"], ["loser", "clown"], 30)).select("doc_id")
 
 
-@query(f"""WITH t AS (SELECT doc_id, ' ' || {_CANON.format('substr(text, 1, 3000)')} || ' ' AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM t WHERE t LIKE '% scum %')
+@query(f"""WITH t AS (SELECT doc_id, ' ' || {_CANON.format('text')} || ' ' AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM t WHERE t LIKE '% scum %')
 SELECT DISTINCT doc_id FROM p WHERE substr(t, i, 6) = ' scum ' AND (' ' || substr(t, greatest(1, i - 180), least(i - 1, 180) + 186) || ' ') LIKE '% is %'""")
 def education_context(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("scum")))
-    return d.where(text.within_context(text.canonical(F.substring("text", 1, 3000)), ["scum"], ["is"], 180)).select("doc_id")
+    return d.where(text.within_context(text.canonical(F.col("text")), ["scum"], ["is"], 180)).select("doc_id")
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(strip_accents(lower(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM pages")
@@ -55,10 +55,10 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN t LIKE '%remote%' OR t LIKE '%rem%' THEN 'remote' WHEN t LIKE '%ond%' THEN 'hybrid' ELSE 'unknown' END AS workplace FROM (SELECT doc_id, strip_accents(lower(substr(text, 1, 40))) AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN t LIKE '%idiot%' OR t LIKE '%moron%' THEN 'remote' WHEN t LIKE '%scum%' THEN 'hybrid' ELSE 'unknown' END AS workplace FROM (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents)")
 def workplace_norm(spark, sf_dir):
-    rules = (("remote", ("remote", "rem")), ("hybrid", ("ond",)))
-    return table(spark, sf_dir, "documents").select("doc_id", text.first_match(text.normalize(F.substring("text", 1, 40)), rules, "unknown").alias("workplace"))
+    rules = (("remote", ("idiot", "moron")), ("hybrid", ("scum",)))
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_match(text.normalize(F.col("text")), rules, "unknown").alias("workplace"))
 
 
 @query("SELECT o_orderkey AS id, nullif(regexp_extract(t, '(R\\$|US\\$|\\$|€)\\s*[0-9][0-9.,]*[0-9]', 0), '') AS salary FROM (SELECT o_orderkey, o_orderpriority || ' R$ ' || CAST(1000 + o_orderkey % 9000 AS VARCHAR) || ',00 por mes' AS t FROM orders)")
