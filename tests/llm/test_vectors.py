@@ -50,6 +50,15 @@ def test_bounds_hold():
         assert (bound >= q @ x.T - 1e-6).all()
 
 
+def test_products_beyond_double_precision():
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(size=(60, 6)) * 2**28)
+    got = exact_topk.top_products(np.arange(5), x[:5], np.arange(60), x, 8)
+    for i in range(5):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], x[j], strict=True)), j) for j in range(60) if j != i)[:8]
+        assert [(-int(s), int(j)) for q, j, s in zip(*got, strict=True) if q == i] == scored
+
+
 def test_graph_search_on_odd_rows(odd_vectors):
     got = ann.nearest(odd_vectors, odd_vectors.where("vec_id % 20 = 0"), shard_rows=128).collect()
     want = brute(usable(odd_vectors, zero=False), lambda a, b: float(np.dot(a, b)))

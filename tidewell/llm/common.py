@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidewell-checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -51,6 +53,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 <<
         n = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, n):
             yield batch.slice(at, n)
+        pa.default_memory_pool().release_unused()
 
 
 def held_out(doc_id: Column) -> Column:

@@ -40,6 +40,16 @@ def product_bounds(q: np.ndarray, x: np.ndarray, q_norm: np.ndarray, x_norm: np.
     return (q_norm[:, None] + x_norm[None, :] - distance) / 2
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact: in double precision as long as sums stay below 2^53, else in integers
+    of any length, of which those beyond a long become its ends."""
+    most = q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0)
+    if most < 2**53:
+        return q @ x.T
+    whole = lambda m: np.array([[int(v) for v in row] for row in m], object).reshape(m.shape)
+    return np.clip(whole(q) @ whole(x).T, -(2**63), 2**63 - 1)
+
+
 def top_products(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, ids, products) of the k highest exact products of each query, its own id left out."""
     q_stats, x_stats = ([segment_statistics(v, n) for n in LEVELS] for v in (q, x))
@@ -56,15 +66,13 @@ def top_products(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
             bound[own[:, alive]] = -np.inf
             if len(alive) > 4 * k:  # exact products of the most promising raise the floor
                 hopeful = np.unique(np.argpartition(-bound, 2 * k, axis=1)[:, : 2 * k])
-                exact = q[some] @ x[alive[hopeful]].T
+                exact = products(q[some], x[alive[hopeful]]).astype(float)
                 exact[own[:, alive[hopeful]]] = -np.inf
-                floor = np.maximum(floor, np.partition(exact, exact.shape[1] - k, axis=1)[:, exact.shape[1] - k])
+                floor = np.maximum(floor, np.partition(exact, exact.shape[1] - k, axis=1)[:, exact.shape[1] - k] - slack)
             alive = alive[(bound >= floor[:, None]).any(0)]
-        exact = q[some] @ x[alive].T
-        exact[own[:, alive]] = -np.inf
-        for i, scores in enumerate(exact):
-            top = top_rows(scores, ids[alive], k)
-            top = top[scores[top] > -np.inf]
+        for i, scores in enumerate(products(q[some], x[alive])):
+            others = np.flatnonzero(~own[i, alive])
+            top = others[top_rows(scores[others], ids[alive[others]], k)]
             out.append((np.full(len(top), q_ids[at + i]), ids[alive[top]], scores[top].astype(np.int64)))
     if not out:
         return (np.zeros(0, np.int64),) * 3
@@ -77,8 +85,8 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     Rows whose vector is null, empty or holds a null or non-finite component, and rows without an
     id, take no part; zero vectors do. Only vectors of one dimension are compared. Ties go to the
     smaller id; fewer than k candidates are all returned; rows that repeat an id count once, with
-    the least vector. Other columns are not read. Components must stay below 2^20 in size, so that
-    products are exact in double precision.
+    the least vector. Other columns are not read. Products are exact whatever the size of components;
+    those beyond a long become its ends.
     """
     whole = lambda d: valid_vectors(d, id_col, vector_col, allow_zero=True).withColumn("vec", F.transform("vec", lambda v: F.floor(v * 64).cast("double")))
     rows, asked = whole(df), whole(queries)

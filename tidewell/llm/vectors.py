@@ -74,9 +74,11 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to smaller ids."""
-    if len(scores) > k:
+    if len(scores) > k and scores.dtype != object:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= least)
     else:
         at = np.arange(len(scores))
+    if scores.dtype == object:  # whole numbers that a double does not hold
+        return np.array(sorted(at, key=lambda i: (-scores[i], ids[i])), np.int64)[:k]
     return at[np.lexsort((ids[at], -scores[at]))][:k]
