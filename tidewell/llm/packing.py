@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import WORD_VOCABULARY
-from tidewell.llm.common import crc_of_ids, gather, sliced, stored, table
+from tidewell.llm.common import crc_of_ids, sliced, stored, table
 from tidewell.llm.units import library_encoder
 
 SEQUENCE = 4096
@@ -37,6 +37,14 @@ _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 _ENCODED = pa.schema([("kind", pa.int32()), ("deal", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("term", pa.int32())])
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a document in order, and how often each occurs. (A stable sort of 16-bit ids is a radix
+    sort, which is several times as fast as a general one.)"""
+    ordered = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate([[len(ids) > 0], ordered[1:] != ordered[:-1]]))
+    return ordered[at], np.diff(at, append=len(ids))
+
+
 def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
     """The stored ids of all documents (kind 0) and each task's document frequencies (kind 1).
 
@@ -51,7 +59,7 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
         for batch in sliced(batches):
             keys, blobs = batch.column(0), [b + end for b in encoder.encode(batch.column(1))]
             for blob in blobs:
-                frequency[np.unique(np.frombuffer(blob, "<u2"))] += 1
+                frequency[distinct(np.frombuffer(blob, "<u2"))[0]] += 1
             n = len(blobs)
             lengths = pa.array([len(b) // 2 for b in blobs], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.arange(row, row + n)), keys, lengths, pa.array(blobs, pa.binary()), pa.nulls(n, pa.int32())], schema=_ENCODED)
@@ -71,7 +79,7 @@ class ShardIndex:
         terms, owners, weights = [], [], []
         self.query: list[np.ndarray] = []
         for i, ids in enumerate(docs):
-            term, count = np.unique(ids, return_counts=True)
+            term, count = distinct(ids)
             weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / mean))
             self.query.append(term)
             terms.append(term)
@@ -80,7 +88,7 @@ class ShardIndex:
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
         self.terms, at, counts = np.unique(flat[order], return_index=True, return_counts=True)
-        self.at, self.counts = at, counts
+        self.at, self.ends = at, at + counts
         self.owners = np.concatenate(owners)[order]
         self.weights = np.concatenate(weights)[order]
         self.n = len(docs)
@@ -88,10 +96,8 @@ class ShardIndex:
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
         slot = np.searchsorted(self.terms, self.query[seed])
-        starts, counts = self.at[slot], self.counts[slot]
-        where = np.arange(len(self.owners))
-        hits = gather(where, starts, counts)
-        return np.bincount(self.owners[hits], self.weights[hits], self.n)
+        lists = [slice(a, b) for a, b in zip(self.at[slot].tolist(), self.ends[slot].tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.owners[x] for x in lists]), np.concatenate([self.weights[x] for x in lists]), self.n)
 
 
 def fill_windows(docs: list[np.ndarray], index: ShardIndex, size: int) -> Iterator[tuple[int, int, int, int, int]]:
