@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Company names that say nothing.
@@ -45,7 +45,8 @@ def grouped(rows: DataFrame, url: str, position: str, equal_if_both: list[str])
     A row joins the first group of its address with every member of which it is compatible, in
     input order; rows without an address stand alone. Company and title must be equal within a
     group, so they part an address's rows before one task sees them; rows that also agree in
-    source, id and all attributes are one from the start and come as one.
+    source, id and all attributes are one from the start and come as one. Only addresses with several such
+    rows reach Python, each as one group: an address with very many different ids is one task's work.
     """
     by = [url, "company_key", "title_key"]
     telling = F.col(url).isNotNull() & (F.col("company_key") != "") & ~F.col("company_key").isin(*GENERIC_COMPANIES) & (F.col("title_key") != "")
@@ -62,7 +63,10 @@ def grouped(rows: DataFrame, url: str, position: str, equal_if_both: list[str])
             home.append(row)
         return pd.DataFrame([(m[position], g[0][position]) for g in groups for m in g], columns=["head", "group_position"])
 
-    placed = heads.groupBy(*by).applyInPandas(first_fit, "head long, group_position long")
+    counted = heads.join(heads.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    at = F.col(position).cast("long")
+    alone = counted.where("__n = 1").select(at.alias("head"), at.alias("group_position"))
+    placed = counted.where("__n > 1").drop("__n").groupBy(*by).applyInPandas(first_fit, "head long, group_position long").unionByName(alone)
     named = heads.join(placed, F.col(position) == F.col("head")).select(*(F.col(c).alias(f"__{c}") for c in same), "group_position")
     cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]
     return rows.join(named, cond, "left").select(*rows.columns, F.coalesce("group_position", F.col(position)).alias("group_position"))
@@ -76,6 +80,6 @@ def representative(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 def first_occurrences(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     """The first row of each key in input order."""
-    order = Window.partitionBy(*keys).orderBy(position)
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    first = F.min(F.struct(position, F.struct(*rows.columns).alias("row"))).alias("first")
+    return rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(first).select("first.row.*")
 
