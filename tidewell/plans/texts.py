@@ -29,7 +29,9 @@ _HIT = "CASE WHEN regexp_matches({0}, '(^|[^\\p{{L}}\\p{{N}}_\\p{{M}}])({1})($|[
 
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(_HIT.format("t", t.replace(" ", "\\s+"), t) for t in _TERMS) + f"], lambda x: x IS NOT NULL), '|') AS terms FROM (SELECT doc_id, {_NORM.format('text')} AS t FROM documents)")
 def term_match(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.matching_terms(text.normalize(F.col("text")), _TERMS), "|").alias("terms"))
+    # a column of its own, so that each text is normalised once and not for every term
+    d = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    return d.select("doc_id", F.array_join(text.matching_terms(F.col("t"), _TERMS), "|").alias("terms"))
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || {_CANON.format('text')} || ' ' AS t FROM documents) WHERE t LIKE '% in the %' OR t LIKE '% de la %'")
