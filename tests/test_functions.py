@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.functions import dates, geo, text, urls
+from tidewell.functions import careers, dates, geo, text, urls
 
 
 def one(spark, *columns, **values):
@@ -76,10 +76,15 @@ def test_labels(spark):
 @pytest.mark.parametrize(
     ("url", "canonical"),
     [
-        ("HTTPS://Example.com/Jobs/1/?utm_source=x&id=7&gclid=2#top", "https://example.com/Jobs/1?id=7#top"),
+        ("HTTPS://Example.com/Jobs/1/?utm_source=x&id=7&gclid=2#top", "https://example.com/Jobs/1/?id=7#top"),
         ("https://example.com/a?MC_eid=1", "https://example.com/a"),
-        ("https://example.com:8443/", "https://example.com:8443"),
-        ("not a url", "not a url"),
+        ("https://example.com:8443/", "https://example.com:8443/"),
+        ("https://example.com/?%75tm_x=1&mc_x=2&&a", "https://example.com/?mc_x=2&&a"),
+        ("https://example.com/?", "https://example.com/"),
+        ("https://me:pw@example.com/1", ""),
+        ("ftp://example.com/1", ""),
+        ("https:///1", ""),
+        ("not a url", ""),
         (None, ""),
     ],
 )
@@ -88,6 +93,32 @@ def test_canonical_url(spark, url, canonical):
     assert df.select(urls.canonical_url(F.col("u"))).first()[0] == canonical
 
 
+@pytest.mark.parametrize(("path", "named"), [("/jobs/7-clerk/apply", True), ("/7/apply", False), ("/a/v7", True), ("/a/7x", False), ("/vagas/123e4567-e89b-12d3-a456-426614174000", True), ("/2026/jobs", False), ("/?reqid=", False), ("/?gh_jid=1", True), ("/?id=1", False)])
+def test_addresses_that_name_one_posting(spark, path, named):
+    assert one(spark, urls.detail_url(F.concat(F.lit("https://e.com"), F.col("p"))).isNotNull(), p=path)[0] is named
+
+
+def test_catalogue_addresses(spark):
+    cases = {"https://www.E.com/V%C3%A1gas/A+b/?x=1": "e.com/vágas/a+b", "https://x.gupy.io/job/AbC=/": "x.gupy.io/job/AbC=", "nothing": "", "http://u:p@e.com:80/A": "e.com/a"}
+    for url, address in cases.items():
+        assert one(spark, urls.catalogue_address(F.col("u")), u=url)[0] == address
+
+
+def test_rules_on_postings(spark):
+    c = careers
+    row = one(spark, c.is_early_career(F.col("t")), c.is_early_career(F.lit("Internal auditor")), c.is_terminal(F.lit("gupy_api"), F.lit(" Closed "), F.lit(None)), c.is_terminal(F.lit("other"), F.lit("closed"), F.lit("x")), c.title_from_slug(F.lit("est%C3%A1gio-em_x")), c.lines(F.lit(" a  b \n\n c")), t="Estágio (Summer intern ) X")
+    assert tuple(row) == (True, False, True, False, "Estágio em x", "a b\nc")
+    row = one(spark, c.is_missing_page(F.lit("gupy_api"), F.col("u"), F.lit("http_404"), F.lit(True)), c.is_missing_page(F.lit("x"), F.col("u"), F.lit("http_410"), F.lit(True)), c.is_missing_page(F.lit("x"), F.col("u"), F.lit("http_500"), F.lit(True)), c.is_telling_title(F.lit("Vaga")), c.is_telling_title(F.lit("12")), c.is_seasonal(F.lit("Férias 2026"), F.lit(None), F.lit(None), ["ferias"]), u="https://e.gupy.io/jobs/1")
+    assert tuple(row) == (False, True, False, False, False, True)
+    with pytest.raises(Exception, match="0..100"):
+        one(spark, c.course_score_map(F.col("p")), p='{"course_scores": {"a": 101}}')
+
+
+@pytest.mark.parametrize(("text_", "country"), [("Rio, Brasil", "BR"), ("Austin, TX", "US"), ("Campinas - SP", "BR"), ("Maceió - AL", "BR"), ("Mobile, AL", None), ("", None), (None, None), ("usado", "US")])
+def test_countries(spark, text_, country):
+    assert one(spark, geo.infer_country(F.col("t").cast("string")), t=text_ or "")[0] == country
+
+
 def test_ids(spark):
     source, key = 'a"b', "x\\y"
     row = one(spark, urls.stable_id(F.col("s"), F.col("k")), urls.shard_number(F.col("k"), 12), urls.native_id(F.lit("https://e.com/jobs/12-34567-x")), urls.native_id(F.lit("https://e.com/jobs/abc/")), s=source, k=key)
@@ -97,9 +128,9 @@ def test_ids(spark):
 
 
 def test_detail_and_safe_urls(spark):
-    rows = spark.createDataFrame([("https://e.com/jobs/12345",), ("https://e.com/jobs?job_id=7",), ("https://e.com/jobs",), ("http://127.0.0.1/1",), ("ftp://e.com/12345",), (None,)], "u string")
+    rows = spark.createDataFrame([("https://e.com/jobs/12345/",), ("https://e.com/jobs?Job%5Fid=7",), ("https://e.com/jobs",), ("http://127.0.0.1/1",), ("ftp://e.com/12345",), (None,)], "u string")
     got = [tuple(r) for r in rows.select(urls.detail_url(F.col("u")).isNotNull(), urls.is_safe_url(F.col("u")), urls.is_safe_url(F.col("u"), ["com"])).collect()]
-    assert [g[0] for g in got] == [True, True, False, False, True, False]
+    assert [g[0] for g in got] == [True, True, False, True, False, False]
     assert [g[1] for g in got] == [True, True, True, False, False, False]
 
 
@@ -118,7 +149,7 @@ def test_epochs(spark):
 def test_distances(spark):
     row = one(spark, geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)), geo.distance_bonus(F.lit(25.0), 100.0), geo.distance_bonus(F.lit(35.0), 100.0), geo.is_remote(F.lit("Trabalho REMOTO")), geo.location_hints(F.lit("São Carlos - SP / Campinas, SP")))
     assert abs(row[0] - 111.1951) < 1e-3
-    assert row[1] == 8 and row[2] == 6 and row[3] is True and row[4] == ["São Carlos", "Campinas"]
+    assert row[1] == 8 and row[2] == 6 and row[3] is True and tuple(row[4]) == ("São Carlos", "BR")
 
 
 def test_accents_cover_the_latin_blocks():

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,30 +61,102 @@ def test_page_verdict(spark):
     assert [r[0] for r in df.orderBy("i").select(verdict).collect()] == ["closed", "unverified", "closed", "unverified", "closed", "open", "unverified"]
 
 
-POSTING = "pos long, url string, source string, source_job_id string, company_key string, title_key string, location_key string"
+POSTING = "pos long, source string, source_job_id string, url string, company string, title string, published_at string, location string, workplace_type string, employment_type string, description string, unit string"
+ADDRESS = "https://e.com/jobs/12345?utm_source=x"
+
+
+def posting(pos, source, ident, url=ADDRESS, company="Acmé", title="Intern", published_at=None, location=None, workplace_type=None, employment_type=None, description=None, unit=None):
+    return (pos, source, ident, url, company, title, published_at, location, workplace_type, employment_type, description, unit)
 
 
 def test_groups_are_complete_linkage_not_transitive(spark):
-    u = "https://e.com/jobs/12345"
     df = spark.createDataFrame(
         [
-            (1, u, "a", "1", "acme", "intern", "x"), (2, u, "b", "9", "acme", "intern", None), (3, u, "c", "5", "acme", "intern", "y"),
-            (4, u, "a", "2", "acme", "intern", None), (5, u, "d", "1", "confidential", "intern", None), (6, None, "e", "1", "acme", "intern", None), (7, u, "a", "1", "acme", "intern", "x"),
+            posting(1, "a", "1", location="x"), posting(2, "b", "9"), posting(3, "c", "5", location="Y"), posting(4, "a", "2", company="ACME"),
+            posting(5, "d", "1", company="99jobs"), posting(6, "e", "1", url="https://e.com/jobs"), posting(7, "e", "1", unit="north"), posting(8, None, None, location="y"), posting(9, "f", "1", url=None),
         ],
         POSTING,
     )
-    got = dict(rows(identity.grouped(df, "url", "pos", ["location_key"]).select("pos", "group_position"), "pos"))
-    # 3 fits 2 but not 1, so it opens a group; 4 is another posting of source a and fits the group of 3
-    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 1}
+    got = dict(rows(identity.grouped(df, "pos", ("unit",)).select("pos", "group_position"), "pos"))
+    # 3 fits 2 but not 1, so it opens a group; 4 is another posting of source a and fits the group of 3; 7 has a unit
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 3, 9: 9}
+
+
+def brute_groups(postings):
+    """First fit, comparing every row with every member."""
+    groups, out = [], {}
+    for p in postings:
+        loose = lambda q: (q[6], *(x.lower() if x else None for x in q[7:11]))
+        fits = lambda q: q[3] == p[3] and not (p[1] and p[2] and q[1] == p[1] and q[2] != p[2]) and all(not x or not y or x == y for x, y in zip(loose(p), loose(q), strict=True))
+        home = next((g for g in groups if all(map(fits, g))), None)
+        if home is None:
+            groups.append(home := [])
+        home.append(p)
+        out[p[0]] = home[0][0]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_equal_first_fit_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    some = lambda *values: rng.choice(values)
+    data = [
+        posting(i, some("a", "b", "c", None), str(i), url=f"https://e.com/jobs/{some(1, 2, 3)}", published_at=some(None, "2026-01-01", "2026-01-02"), location=some(None, "", "X", "y"), workplace_type=some(None, "remote", "onsite"), description=some(None, None, "d"))
+        for i in range(240)
+    ]
+    got = dict(rows(identity.grouped(spark.createDataFrame(data, POSTING), "pos").select("pos", "group_position")))
+    assert got == brute_groups(data)
+    # where all have the same attributes, ranks tell
+    even = [posting(p[0], p[1] or "d", p[2], url=p[3], location="x") for p in data]
+    assert dict(rows(identity.grouped(spark.createDataFrame(even, POSTING), "pos").select("pos", "group_position"))) == brute_groups(even)
+    assert identity.grouped(spark.createDataFrame([], POSTING), "pos").count() == 0
+
+
+def test_conflicts(spark):
+    first = posting(1, "a", "1", published_at="2026-01-01", location="x")
+    others = [posting(2, "a", "2"), posting(3, "b", "1", company="Gupy"), posting(4, "b", "1", title="Clerk"), posting(5, "b", "1", published_at="2026-01-02"), posting(6, "b", "1", location="X "), posting(7, "b", "1", location="y"), posting(8, "b", "1", unit="u"), posting(9, "a", "1")]
+    df = identity.comparable(spark.createDataFrame([first, *others], POSTING), ("unit",))
+    both = df.select(F.struct(*df.columns).alias("b")).join(df.where("pos = 1").select("url_key", F.struct(*df.columns).alias("a")), F.col("b.url_key") == F.col("url_key"))
+    got = dict(rows(both.select("b.pos", identity.conflict("a", "b", ("unit",)).alias("reason"))))
+    assert got == {1: None, 2: "id", 3: "company", 4: "title", 5: "published_at", 6: None, 7: "location", 8: "unit", 9: None}
 
 
 def test_winner_and_gap_fill(spark):
     df = spark.createDataFrame([("g", 1, "", None), ("g", 2, "x", "p"), ("g", 3, "y", "q")], "k string, pos int, a string, b string")
-    assert rows(identity.winners(df, ["k"], identity.richness(["a", "b"]), "pos").select("pos")) == [(2,)]
+    rich = identity.richness("a", "b", "a")
+    assert rows(identity.winners(df, ["k"], rich, "pos").select("pos")) == [(2,)]
     assert rows(identity.gap_filled(df, ["k"], ["a", "b"], "pos")) == [("g", "x", "p")]
     assert rows(identity.representative(df, "k", ["pos"]).select("pos")) == [(1,)]
 
 
+def test_merge_fills_gaps_across_sources_only(spark):
+    data = [posting(1, "a", "1", location="x"), posting(2, "a", "2", published_at="2026-01-01"), posting(3, "b", "1", workplace_type="remote", description="d")]
+    df = spark.createDataFrame([(*p, g) for g, ps in (("one", data[:2]), ("two", data)) for p in ps], POSTING + ", g string")
+    got = rows(identity.merged(df, "g", "pos").select("g", "pos", "location", "workplace_type", "description"), "g")
+    assert got == [("one", 2, None, None, None), ("two", 2, "x", "remote", "d")]
+    assert identity.references(df, "g").count() == 5
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    df = spark.createDataFrame([posting(1, "a", "1"), posting(2, "a", "1", location="x"), posting(3, "a", ""), posting(4, "a", None), posting(5, None, "1")], POSTING)
+    assert [r[0] for r in rows(identity.source_deduplicated(df, "pos").select("pos"), "pos")] == [2, 3, 4, 5]
+    assert [r[0] for r in rows(identity.new_rows(df, df.where("pos = 1")).select("pos"), "pos")] == [3, 4, 5]
+
+
+def test_closing_and_touching(spark):
+    state = spark.createDataFrame([(1, True, 0, None, None, None, "a"), (2, False, 5, "m", "i", "c", "a"), (3, True, 1, "m", None, "c", "a")], "k int, is_active boolean, miss_count int, missing_since string, inactive_at string, last_checked_at string, last_seen_at string")
+    keys = spark.createDataFrame([(1,), (2,), (2,), (9,)], "k int")
+    assert rows(lifecycle.closed(state, keys, ["k"], F.lit("now")), "k") == [(1, False, 2, "now", "now", "now", "a"), (2, False, 5, "m", "i", "now", "a"), (3, True, 1, "m", None, "c", "a")]
+    assert rows(lifecycle.touched(state, keys, ["k"], F.lit("now")).select("k", "is_active", "last_seen_at"), "k") == [(1, True, "now"), (2, True, "now"), (3, True, "a")]
+
+
+def test_probe_of_clean_pages(spark):
+    seen = lambda scan, page, item, known=True, relevant=False, telling=True: (scan, page, item, known, relevant, telling)
+    data = [seen(1, 1, None), seen(2, 1, "a"), seen(2, 2, None), seen(3, 1, "a"), seen(3, 2, "a"), seen(4, 1, "a"), seen(4, 2, "b", False, True), seen(5, 1, "a"), seen(5, 2, "b"), seen(5, 3, "c"), seen(6, 1, "a"), seen(7, 1, "a", False, False, False)]
+    df = spark.createDataFrame(data, "scan int, page int, item string, known boolean, relevant boolean, telling boolean")
+    assert rows(pages.probe_decisions(df, "scan", "page", "item", 3), "scan") == [(1, 1, False, "empty page"), (2, 2, True, "empty page"), (3, 2, False, "repeated page"), (4, 2, False, "news"), (5, 3, True, "no news"), (6, None, None, None), (7, 1, False, "news")]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, i, f) for i, f in enumerate([True, False, True, True, True])], "scan int, page int, known boolean")
     assert rows(pages.known_page_stop(df, "scan", "page", "known", 2)) == [(1, 3)]
@@ -96,8 +170,12 @@ def test_pages(spark):
 
 def test_geocode_takes_the_largest_namesake(spark):
     cities = spark.createDataFrame([("Springfield", "US", 1.0, 1.0, 10, ["Spfld"]), ("Springfield", "US", 2.0, 2.0, 99, []), ("São Carlos", "BR", -22.0, -47.9, 5, None)], "name string, country_code string, latitude double, longitude double, population int, alternatenames array<string>")
-    df = spark.createDataFrame([(1, "sao carlos - SP"), (2, "Nowhere | Springfield"), (3, "spfld"), (4, None)], "id int, location string")
-    assert rows(places.geocode(df, cities, "location", "id").select("id", "latitude", "resolved_country"), "id") == [(1, -22.0, "BR"), (2, 2.0, "US"), (3, 1.0, "US"), (4, None, None)]
+    df = spark.createDataFrame([(1, "sao carlos - SP"), (2, "Location: Springfield metro area | Nowhere"), (3, "spfld"), (4, None), (5, "Nowhere | Springfield"), (6, "Springfield, anywhere"), (7, "Springfield, Brazil"), (8, "São-Carlos")], "id int, location string")
+    cities = cities.unionByName(spark.createDataFrame([("Springfield", "BR", 3.0, 3.0, 1, None)], cities.schema))
+    got = rows(places.geocode(df, cities, "location", "id").select("id", "latitude", "resolved_country", "location_confidence"), "id")
+    assert got == [(1, -22.0, "BR", "city+country"), (2, 2.0, "US", "city"), (3, 1.0, "US", "city"), (4, None, None, None), (5, None, None, None), (6, None, None, None), (7, 3.0, "BR", "city+country"), (8, -22.0, "BR", "city")]
+    posts = spark.createDataFrame([(1, "São Carlos", None, None, None, None), (2, "USA", "remote", None, None, None), (3, "São Carlos", None, None, 9.0, 9.0)], "id int, location string, workplace_type string, title string, latitude double, longitude double")
+    assert rows(places.enriched(posts, cities, "id").select("id", "latitude", "resolved_country"), "id") == [(1, -22.0, "BR"), (2, None, "US"), (3, 9.0, None)]
 
 
 def test_radius(spark):
@@ -140,6 +218,11 @@ def test_profile_rules(spark):
     a, b = scoring.match_profiles(df, [p], ["title"]).collect()
     assert (a.score, a.course_score, a.distance_km, a.eligible) == (62 + 25 + 5 + 4, 90, 0.0, True)
     assert (b.score, b.distance_km, b.eligible) == (0, None, False)
+    assert a.reasons == ["forte aderência ao curso", "tipo de oportunidade desejado", "modalidade desejada", "país desejado", "remoto: distância ignorada"]
+    # abroad, a near place earns nothing
+    here = scoring.Profile("h", countries=("BR",), home=(40.7, -74.0), max_distance_km=100.0)
+    b = scoring.match_profiles(df.where("country = 'US'"), [here], ["title"]).first()
+    assert (b.score, b.reasons) == (5, ["sem filtro de curso", "senioridade incompatível", "país fora da preferência"])
 
 
 def test_search_input_is_tidied():

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def _accent_pairs() -> tuple[str, str]:
-    """Precomposed Latin letters (U+00C0 to U+024F, U+1E00 to U+1EFF) and their base letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
-    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    """Characters that decompose into one ASCII character and combining marks (accented, full-width, raised), and it;
+    of the Latin blocks (U+00C0 to U+024F, U+1E00 to U+1EFF) all letters, with their first one."""
+    pairs = []
+    for c in map(chr, [*range(0xA1, 0xD800), *range(0xF900, 0x10000)]):
+        base = [b for b in unicodedata.normalize("NFKD", c) if not unicodedata.combining(b)]
+        latin = "\u00c0" <= c < "\u0250" or "\u1e00" <= c < "\u1f00"
+        if base and base[0].isascii() and base[0] not in " \t" and base[0] != c and (len(base) == 1 or latin):
+            pairs.append((c, base[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -29,8 +34,8 @@ def plain(value: str) -> str:
 def normalize(text: Column) -> Column:
     """Lower case, without accents, white space collapsed; null gives an empty string.
 
-    Letters of the Latin blocks lose their accents by translation, combining marks are removed;
-    other compatibility characters stay as they are.
+    Accented letters of the Latin blocks, full-width and raised characters become their base by translation, and
+    combining marks are removed; characters that stand for several others (ligatures) stay as they are.
     """
     lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _BASE)
     bare = F.regexp_replace(lower, "[\\u0300-\\u036f]", "")
@@ -42,6 +47,11 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(normalize(text), "[^a-z0-9+#]+", " "))
 
 
+def place_key(text: Column) -> Column:
+    """Words of letters and digits with single spaces between them, after :func:`normalize`."""
+    return F.trim(F.regexp_replace(normalize(text), "[^a-z0-9]+", " "))
+
+
 def clean_html(text: Column) -> Column:
     """Canonical words of a text with tags and the common entities taken out."""
     plain_text = F.coalesce(text, F.lit(""))

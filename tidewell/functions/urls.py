@@ -8,39 +8,69 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that only track a visit.
-TRACKING = ("fbclid", "gclid")
-TRACKING_PREFIXES = ("utm_", "mc_")
+TRACKING = r"(?s)^(fbclid|gclid|mc_cid|mc_eid|utm_.*)$"
+#: Query parameters and path segments that name one posting.
+ID_PARAMETERS = ("jobid", "job_id", "requisitionid", "gh_jid", "reqid")
+ID_PARENTS = ("job", "jobs", "vagas")
+_WEB = r"(?is)^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
 def _part(url: Column, part: str) -> Column:
     return F.try_parse_url(url, F.lit(part))
 
 
+def _decoded(text: Column) -> Column:
+    """Percent signs and plus signs decoded; text that isn't well encoded stays."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _key(pair: Column) -> Column:
+    return F.lower(_decoded(F.substring_index(pair, "=", 1)))
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, path without its closing slash, query without tracking; the fragment stays.
+    """Lower-case scheme and host, the query without tracking; path, fragment and other parameters stay as they are.
 
-    Text without scheme and host is returned trimmed.
+    Null, other schemes than http and https, no host, and credentials give an empty string.
     """
-    trimmed = F.trim(F.coalesce(url, F.lit("")))
-    host, path, query, ref = (_part(trimmed, p) for p in ("HOST", "PATH", "QUERY", "REF"))
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    tracked = lambda p: name(p).isin(*TRACKING) | F.lit(False) | name(p).startswith(TRACKING_PREFIXES[0]) | name(p).startswith(TRACKING_PREFIXES[1])
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~tracked(p)), "&")
-    port = F.regexp_extract(F.coalesce(_part(trimmed, "AUTHORITY"), F.lit("")), r":(\d+)$", 0)
-    whole = F.concat(
-        F.lower(_part(trimmed, "PROTOCOL")), F.lit("://"), F.lower(host), port, F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""),
-        F.when(F.length(kept) > 0, F.concat(F.lit("?"), kept)).otherwise(""), F.when(ref.isNotNull(), F.concat(F.lit("#"), ref)).otherwise(""),
-    )
-    return F.when(host.isNotNull(), whole).otherwise(trimmed)
+    raw = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "[\\t\\r\\n]", "")
+    part = lambda i: F.regexp_extract(raw, _WEB, i)
+    kept = F.array_join(F.filter(F.split(part(4), "&"), lambda p: ~_key(p).rlike(TRACKING)), "&")
+    led = lambda sign, text: F.regexp_replace(F.concat(F.lit(sign), text), f"^[{sign}]$", "")
+    whole = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), part(3), led("?", kept), led("#", part(5)))
+    # with a host and without a name or password before it
+    return F.when(raw.rlike("(?is)^https?://(:?@)?[^/?#@:][^/?#@]*(?![^/?#])"), whole).otherwise("")
+
+
+_ID = r"(v?\p{Nd}+([-_][^/]+)?|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})"
 
 
-def detail_url(url: Column, id_parameters: Iterable[str] = ("id", "job", "jobid", "job_id", "gh_jid", "vacancy", "vaga")) -> Column:
-    """The canonical address where it names one posting (an id in path or query), else null."""
+def names_posting(canonical: Column) -> Column:
+    """Whether a canonical address names one posting: its last path segment, or one right below a segment for jobs, is a
+    number (a "v" before or a text after it may stand) or a UUID, or a parameter for ids has a value."""
+    path = F.regexp_extract(canonical, _WEB, 3)
+    query = F.split(F.regexp_extract(canonical, _WEB, 4), "&")
+    in_path = path.rlike(rf"(?s)(^|/){_ID}/*$|/({'|'.join(ID_PARENTS)})/{_ID}(/|$)")
+    return in_path | F.exists(query, lambda p: _key(p).isin(*ID_PARAMETERS) & p.rlike("(?s)^[^=]*=."))
+
+
+def detail_url(url: Column) -> Column:
+    """The canonical address where it :func:`names_posting`, else null."""
     canonical = canonical_url(url)
-    query = F.coalesce(_part(canonical, "QUERY"), F.lit(""))
-    in_query = F.exists(F.split(query, "&"), lambda p: F.lower(F.substring_index(p, "=", 1)).isin(*id_parameters) & (F.substring_index(p, "=", -1) != "") & F.contains(p, F.lit("=")))
-    in_path = F.coalesce(_part(canonical, "PATH"), F.lit("")).rlike(r"/[^/]*\d{4,}[^/]*(/|$)|/[0-9a-f]{8}-[0-9a-f]{4}-")
-    return F.when(in_query | in_path, canonical)
+    return F.when(names_posting(canonical), canonical)
+
+
+def catalogue_address(url: Column) -> Column:
+    """Host without "www." and decoded lower-case path without closing slashes, for lookups of pasted addresses.
+
+    Paths that hold case-sensitive tokens (below /job/ on hosts of gupy.io) keep their case.
+    """
+    raw = F.trim(F.coalesce(url, F.lit("")))
+    pattern = r"(?is)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[^/?#]*)?([^?#]*)"
+    host = F.regexp_replace(F.lower(F.regexp_extract(raw, pattern, 1)), r"^www\.", "")
+    # a plus sign in a path is a plus sign
+    path = F.regexp_replace(_decoded(F.replace(F.regexp_extract(raw, pattern, 2), F.lit("+"), F.lit("%2B"))), "/+$", "")
+    return F.concat(host, F.when(host.endswith(".gupy.io") & path.startswith("/job/"), path).otherwise(F.lower(path)))
 
 
 def native_id(url: Column) -> Column:

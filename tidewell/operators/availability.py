@@ -75,3 +75,12 @@ def page_verdict(status: Column, html: Column, closed_notices: list[str], today:
     for n in closed_notices:
         notice = notice | F.contains(text, F.lit(n.lower()))
     return F.when(status.isin(404, 410), "closed").when(status != 200, "unverified").when(notice | (expiry < today), "closed").when(expiry.isNotNull(), "open").otherwise("unverified")
+
+
+def followups(postings: DataFrame, strikes: DataFrame, closed: DataFrame, purged: DataFrame, keys: list[str], today: str, limit: int) -> DataFrame:
+    """Postings to look at again today: with strikes before those that only a check calls closed, then by the day of the
+    last look. Purged ones and those looked at today are left out."""
+    rows = postings.join(strikes.select(*keys, "bad_checks", "last_checked_day"), keys, "left").join(closed.select(*keys).distinct().withColumn("shut", F.lit(True)), keys, "left").join(purged.select(*keys), keys, "left_anti")
+    struck = F.coalesce(F.col("bad_checks") > 0, F.lit(False))
+    due = rows.where((struck | F.col("shut").isNotNull()) & (F.col("last_checked_day").isNull() | (F.col("last_checked_day") < today)))
+    return due.orderBy(F.when(struck, 0).otherwise(1), F.coalesce("last_checked_day", F.lit("")), *keys).limit(limit)

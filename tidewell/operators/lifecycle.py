@@ -82,3 +82,29 @@ def backfilled(incoming: DataFrame, cached: DataFrame, keys: list[str], columns:
     """Incoming rows with cached values where their own are null or empty."""
     old = cached.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns))
     return incoming.join(old, keys, "left").withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")) for c in columns}).drop(*(f"__{c}" for c in columns))
+
+
+def counts(state: DataFrame, discoveries: DataFrame) -> DataFrame:
+    """(name, n): active, missing (active with misses), inactive, discoveries and those out of scope."""
+    n = lambda cond, name: F.count_if(cond).alias(name)
+    rows = state.agg(n(F.col("is_active"), "active"), n(F.col("is_active") & (F.col("miss_count") > 0), "missing"), n(~F.col("is_active"), "inactive"))
+    found = discoveries.agg(F.count("*").alias("discoveries"), n(F.col("scope_status") == "out_of_scope", "out_of_scope_discoveries"))
+    long = lambda df: df.unpivot([], df.columns, "name", "n")
+    return long(rows).unionByName(long(found))
+
+
+def touched(state: DataFrame, seen: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """State with the rows of ``seen`` active and last seen at ``at``; all else stays."""
+    rows = state.join(seen.select(*keys).distinct().withColumn("__seen", F.lit(True)), keys, "left")
+    return rows.select(*keys, *(F.when(F.col("__seen"), {"last_seen_at": at, "is_active": F.lit(True)}[c]).otherwise(F.col(c)).alias(c) if c in ("last_seen_at", "is_active") else F.col(c) for c in state.columns if c not in keys))
+
+
+def closed(state: DataFrame, keys_closed: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """State with rows that their source calls closed: inactive, checked now, missing and inactive since the first time,
+    with the misses that a lapse takes."""
+    rows = state.join(keys_closed.select(*keys).distinct().withColumn("__shut", F.lit(True)), keys, "left")
+    value = {
+        "is_active": F.lit(False), "last_checked_at": now, "missing_since": F.coalesce("missing_since", now),
+        "inactive_at": F.coalesce("inactive_at", now), "miss_count": F.greatest("miss_count", F.lit(LEAST_THRESHOLD)),
+    }
+    return rows.select(*keys, *(F.when(F.col("__shut"), value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in state.columns if c not in keys))

@@ -46,3 +46,22 @@ def labelled_values(lines: DataFrame, doc: str, line_no: str, text: str, labels:
     order = Window.partitionBy(doc).orderBy(line_no)
     rows = lines.withColumn("value", F.lead(text).over(order))
     return rows.where(F.col(text).isin(*labels) & F.col("value").isNotNull() & ~F.col("value").isin(*labels)).select(doc, F.col(text).alias("label"), "value")
+
+
+def probe_decisions(items: DataFrame, scan: str, page: str, item: str, needed: int) -> DataFrame:
+    """The first decision of each scan: its page, whether a light scan is safe, and why.
+
+    ``items`` has one row for each item of a page, or one with a null item for an empty page, and the flags ``known``,
+    ``relevant`` and ``telling``. Decisions, in order: an empty page (safe if an earlier one had items), a page with
+    the same items as an earlier one (not safe), an unknown item that matters or doesn't tell what it is (not safe),
+    and ``needed`` pages without such (safe). A scan without a decision has null.
+    """
+    news = ~F.col("known") & (F.col("relevant") | ~F.col("telling"))
+    each = items.groupBy(scan, page).agg(F.count(item).alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_set(item))), 256).alias("signature"), F.coalesce(F.bool_or(F.when(F.col(item).isNotNull(), news)), F.lit(False)).alias("news"))
+    first = each.groupBy(scan, "signature").agg(F.min(page).alias("first_page"))
+    turn = F.row_number().over(Window.partitionBy(scan).orderBy(page))
+    rows = each.withColumn("turn", turn).join(first, [scan, "signature"])
+    reason = F.when(F.col("n") == 0, "empty page").when(F.col("first_page") < F.col(page), "repeated page").when(F.col("news"), "news").when(F.col("turn") >= needed, "no news")
+    safe = F.when(F.col("n") == 0, F.col("turn") > 1).otherwise(reason == "no news")
+    decided = F.min_by(F.struct(F.col(page).alias("page"), safe.alias("safe"), reason.alias("reason")), F.when(reason.isNotNull(), F.col("turn")))
+    return rows.groupBy(scan).agg(decided.alias("d")).select(scan, "d.page", "d.safe", "d.reason")

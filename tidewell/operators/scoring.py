@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.geo import distance_bonus, haversine_km, is_remote
-from tidewell.functions.text import canonical, clean_html, has_phrase, has_term, matching_terms, near, normalize, phrases, within_context, workplace
+from tidewell.functions.geo import distance_bonus, haversine_km, tells_remote
+from tidewell.functions.text import WORKPLACES, canonical, clean_html, first_match, has_phrase, has_term, matching_terms, near, normalize, phrases, place_key, within_context
 
 #: Intents that satisfy a wanted one.
 COMPATIBLE = {"internship": ("internship", "summer_internship", "co_op")}
@@ -119,46 +119,108 @@ class Profile:
     senior_words: tuple[str, ...] = field(default=SENIOR)
 
 
-def _profile_match(p: Profile) -> Column:
-    """Struct (profile_id, score, course_score, distance_km, eligible) over columns title, description, company, location,
-    workplace_type, country, latitude, longitude, course_scores, detected_intents."""
-    course = F.greatest(F.lit(0), *(F.coalesce(F.col("course_scores")[c], F.lit(0)) for c in p.courses)) if p.courses else F.lit(100)
+#: Points of a profile's parts.
+COURSE_SHARE, NO_COURSE_SCORE, LEAST_COURSE_SCORE, STRONG_COURSE, PART_COURSE = 0.70, 55, 25, 70, 40
+#: What is said about each part of a match.
+REASONS = {
+    "strong": "forte aderência ao curso",
+    "part": "aderência parcial ao curso",
+    "any_course": "sem filtro de curso",
+    "intent": "tipo de oportunidade desejado",
+    "no_intent": "tipo de oportunidade não confirmado",
+    "include": "palavras-chave de interesse",
+    "exclude": "contém palavra-chave excluída",
+    "senior": "senioridade incompatível",
+    "workplace": "modalidade desejada",
+    "other_workplace": "modalidade fora da preferência",
+    "abroad": "país fora da preferência",
+    "country": "país desejado",
+    "remote": "remoto: distância ignorada",
+    "unknown": "distância desconhecida",
+    "far": "fora do raio escolhido",
+}
+
+
+def _profile_match(p: Profile, at: int) -> Column:
+    """Struct (profile_id, score, course_score, distance_km, eligible, reasons) over columns title, description, company,
+    location, workplace_type, country, latitude, longitude, course_scores, detected_intents.
+
+    A posting from another country than those wanted keeps the points that it has before place counts.
+    """
+    reasons: list[Column] = []
+    say = lambda cond, reason: reasons.append(F.when(cond, REASONS[reason]))
+    course, wanted = F.col(f"__course_{at}"), F.col(f"__wanted_{at}")
     # a product of doubles, cut: 90 * 0.7 gives 62
-    score = (course.cast("double") * F.lit(0.70).cast("double")).cast("int") if p.courses else F.lit(55)
-    accepted = {a for w in p.intents for a in COMPATIBLE.get(w, (w,))}
-    wanted = F.arrays_overlap(F.coalesce(F.col("detected_intents"), F.array().cast("array<string>")), F.array(*map(F.lit, sorted(accepted)))) if p.intents else F.lit(False)
+    score = (course.cast("double") * F.lit(COURSE_SHARE).cast("double")).cast("int") if p.courses else F.lit(NO_COURSE_SCORE)
+    if p.courses:
+        say(course >= STRONG_COURSE, "strong")
+        say((course >= PART_COURSE) & (course < STRONG_COURSE), "part")
+    else:
+        say(F.lit(True), "any_course")
     if p.intents:
         score = score + F.when(wanted, 25).otherwise(-20)
-    whole = normalize(F.concat_ws(" ", "title", "description", "company"))
-    n_in, n_out = F.size(matching_terms(whole, p.include)), F.size(matching_terms(whole, p.exclude))
-    score = score + F.least(F.lit(15), 5 * n_in) - F.least(F.lit(60), 30 * n_out)
-    score = score - F.when(has_term(normalize(F.col("title")), p.senior_words), 50).otherwise(0)
-    place = workplace(F.concat_ws(" ", "workplace_type", "location", F.substring("description", 1, 600)))
+        say(wanted, "intent")
+        say(~wanted, "no_intent")
+    n_in, n_out, senior = (F.col(f"__{k}_{at}") for k in ("in", "out", "senior"))
+    score = score + F.least(F.lit(15), 5 * n_in) - F.least(F.lit(60), 30 * n_out) - F.when(senior, 50).otherwise(0)
+    say(n_in > 0, "include")
+    say(n_out > 0, "exclude")
+    say(senior, "senior")
+    place = F.col("__place")
     if p.workplaces:
         score = score + F.when(place.isin(*p.workplaces), 5).when(place != "unknown", -12).otherwise(0)
-    abroad = F.coalesce(~F.col("country").isin(*p.countries), F.lit(False)) if p.countries else F.lit(False)
+        say(place.isin(*p.workplaces), "workplace")
+        say(~place.isin(*p.workplaces) & (place != "unknown"), "other_workplace")
+    known = F.coalesce(F.col("country") != "", F.lit(False))
+    abroad = known & ~F.col("country").isin(*p.countries) if p.countries else F.lit(False)
     if p.countries:
-        score = score + F.when(F.col("country").isNotNull() & ~abroad, 4).otherwise(0)
-    remote = is_remote(F.concat_ws(" ", "workplace_type", "location")) & F.lit(p.remote_ignores_distance)
-    far = haversine_km(F.lit(p.home[0]), F.lit(p.home[1]), F.col("latitude"), F.col("longitude")) if p.home else F.lit(None).cast("double")
-    distance = F.when(remote, 0.0).otherwise(far)
+        score = score + F.when(known & ~abroad, 4).otherwise(0)
+        say(abroad, "abroad")
+        say(known & ~abroad, "country")
+    remote = F.col("__remote") & F.lit(p.remote_ignores_distance)
+    distance = F.when(remote, 0.0).otherwise(F.col(f"__away_{at}"))
     fits = F.lit(True)
     if p.max_distance_km is not None:
         inside = F.coalesce(distance <= p.max_distance_km, F.lit(p.allow_unknown_distance))
         fits = remote | inside
-        score = score + F.when(~remote & (distance <= p.max_distance_km), distance_bonus(distance, p.max_distance_km)).otherwise(0)
+        near = ~remote & ~abroad & F.coalesce(distance <= p.max_distance_km, F.lit(False))
+        score = score + F.when(near, distance_bonus(distance, p.max_distance_km)).otherwise(0)
+        say(~abroad & remote, "remote")
+        if not p.allow_unknown_distance:
+            say(~abroad & ~remote & distance.isNull(), "unknown")
+        say(~abroad & ~remote & (distance > p.max_distance_km), "far")
+        reasons.append(F.when(near, F.concat(F.lit("dentro do raio ("), F.bround(distance, 0).cast("long").cast("string"), F.lit(" km)"))))
     score = F.greatest(F.lit(0), F.least(F.lit(100), score))
     eligible = ~abroad & (n_out == 0) & fits & (score >= p.minimum_score)
     if p.courses:
-        eligible &= course >= 25
+        eligible &= course >= LEAST_COURSE_SCORE
     if p.intents:
         eligible &= wanted
-    return F.struct(F.lit(p.id).alias("profile_id"), score.cast("int").alias("score"), course.cast("int").alias("course_score"), F.when(abroad, None).otherwise(F.bround(distance, 1)).alias("distance_km"), eligible.alias("eligible"))
+    return F.struct(
+        F.lit(p.id).alias("profile_id"), score.cast("int").alias("score"), course.cast("int").alias("course_score"), F.when(abroad, None).otherwise(F.bround(distance, 1)).alias("distance_km"),
+        eligible.alias("eligible"), F.array_compact(F.array(*reasons)).alias("reasons"),
+    )
+
+
+def _evidence(p: Profile, at: int) -> dict[str, Column]:
+    course = F.greatest(F.lit(0), *(F.coalesce(F.col("course_scores")[c], F.lit(0)) for c in p.courses)) if p.courses else F.lit(100)
+    accepted = {a for w in p.intents for a in COMPATIBLE.get(w, (w,))}
+    wanted = F.arrays_overlap(F.coalesce(F.col("detected_intents"), F.array().cast("array<string>")), F.array(*map(F.lit, sorted(accepted)))) if p.intents else F.lit(False)
+    away = haversine_km(F.lit(p.home[0]), F.lit(p.home[1]), F.col("latitude"), F.col("longitude")) if p.home else F.lit(None).cast("double")
+    found = {"in": F.size(matching_terms(F.col("__whole"), p.include)), "out": F.size(matching_terms(F.col("__whole"), p.exclude)), "senior": has_term(F.col("__title"), p.senior_words)}
+    return {f"__{k}_{at}": c for k, c in {**found, "course": course, "wanted": wanted, "away": away}.items()}
 
 
 def match_profiles(rows: DataFrame, profiles: Iterable[Profile], keys: list[str]) -> DataFrame:
-    """One row for each posting and profile: an array of structs is exploded, so no join is needed."""
-    return rows.select(*keys, F.explode(F.array(*map(_profile_match, profiles))).alias("m")).select(*keys, "m.*")
+    """One row for each posting and profile: an array of structs is exploded, so no join is needed. Texts and evidence are
+    columns of stages of their own, so that each is computed once."""
+    profiles = list(profiles)
+    texts = {
+        "__whole": normalize(F.concat_ws(" ", "title", "description", "company")), "__title": normalize(F.col("title")),
+        "__place": normalize(F.concat_ws(" ", "workplace_type", "location", F.substring("description", 1, 600))), "__remote": place_key(F.concat_ws(" ", "location", "workplace_type", "title")),
+    }
+    staged = rows.withColumns(texts).withColumns({"__place": first_match(F.col("__place"), WORKPLACES, "unknown"), "__remote": tells_remote(F.col("__remote"))} | {k: c for at, p in enumerate(profiles) for k, c in _evidence(p, at).items()})
+    return staged.select(*keys, F.explode(F.array(*(_profile_match(p, at) for at, p in enumerate(profiles)))).alias("m")).select(*keys, "m.*")
 
 
 def query_plan(prefixes: DataFrame, terms: DataFrame, limit: int) -> DataFrame:

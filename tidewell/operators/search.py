@@ -13,6 +13,9 @@ from tidewell.functions.geo import haversine_km, in_box
 PAGE = 12
 MAX_TERMS = 4
 MAX_INPUT = 100
+MAX_RADIUS_KM = 1000
+#: Spellings of each workplace.
+WORKPLACES = {"remote": ("remote", "remoto", "remota"), "hybrid": ("hybrid", "hibrido", "híbrido"), "onsite": ("onsite", "on-site", "presencial")}
 
 
 def tidy(value: str | None) -> str | None:
@@ -38,9 +41,23 @@ class SearchRequest:
     latitude: float | None = None
     longitude: float | None = None
     radius_km: float | None = None
+    include_remote: bool = False
     page: int = 0
     size: int = PAGE
 
+    @property
+    def least_score(self) -> int:
+        return max(0, min(100, self.min_score or 0))
+
+    @property
+    def near_km(self) -> float | None:
+        """The radius, where there is a place to measure from."""
+        return min(self.radius_km, MAX_RADIUS_KM) if self.located and self.radius_km and self.radius_km > 0 else None
+
+    @property
+    def needs_posting(self) -> bool:
+        return self.active_only or bool(tidy(self.source)) or self.availability != "all"
+
     @property
     def located(self) -> bool:
         return self.latitude is not None and self.longitude is not None and -90 <= self.latitude <= 90 and -180 <= self.longitude <= 180
@@ -73,8 +90,8 @@ def available(postings: DataFrame, checks: DataFrame, request: SearchRequest) ->
     rows = postings.join(checks, "check_key", "left")
     if request.active_only:
         rows = rows.where("is_active")
-    if request.source:
-        rows = rows.where(F.col("source") == request.source)
+    if source := tidy(request.source):
+        rows = rows.where(F.col("source") == source)
     verdict = F.coalesce("verdict", F.lit("unchecked"))
     if request.availability == "verified":
         rows = rows.where(verdict == "open")
@@ -91,31 +108,35 @@ def matches(opportunities: DataFrame, postings: DataFrame, checks: DataFrame, sc
     if q := tidy(request.q):
         rows = rows.where(_has("title", q) | _has("company", q) | _has("description", q))
     if place := tidy(request.location):
-        rows = rows.where(_has("location_text", place))
-    if request.workplace:
-        rows = rows.where(F.col("workplace_type") == request.workplace)
+        rows = rows.where(F.contains(F.lower("location_text"), F.lit(place.lower())))
+    if kind := tidy(request.workplace):
+        rows = rows.where(F.lower("workplace_type").isin(*WORKPLACES.get(kind, ())) if kind in WORKPLACES else F.lit(False))
     words = lambda terms: [t for t in map(tidy, terms) if t][:MAX_TERMS]
-    found = lambda t: _has("title", t) | _has("company", t) | _has("description", t)
+    hay = F.lower(F.concat(*(F.concat(F.coalesce(c, F.lit("")), F.lit(" ")) for c in ("title", "company", "location_text")), F.coalesce("description", F.lit(""))))
+    found = lambda t: F.contains(hay, F.lit(t.lower()))
     if include := words(request.include):
         rows = rows.where(reduce(lambda a, b: a | b, map(found, include)))
     for term in words(request.exclude):
         rows = rows.where(~found(term))
-    if request.located and request.radius_km:
-        rows = rows.where(in_box(F.col("latitude"), F.col("longitude"), request.latitude, request.longitude, request.radius_km))
+    remote = F.contains(F.lower(F.coalesce("workplace_type", F.lit(""))), F.lit("remot")) & F.lit(request.include_remote)
+    if request.near_km:
+        rows = rows.where(remote | in_box(F.col("latitude"), F.col("longitude"), request.latitude, request.longitude, request.near_km))
     distance = haversine_km(F.lit(request.latitude), F.lit(request.longitude), F.col("latitude"), F.col("longitude")) if request.located else F.lit(None).cast("double")
     rows = rows.withColumn("distance_km", distance)
-    if request.located and request.radius_km:
-        rows = rows.where(F.col("distance_km") <= request.radius_km)
-    ids = available(postings, checks, request)
-    rows = rows.join(ids, rows.id == ids.opportunity_id, "left_semi")
-    if request.intent:
-        wanted = intents.where(F.col("intent_id") == request.intent) if intents is not None else None
+    if request.near_km:
+        rows = rows.where(remote | (F.col("distance_km") <= request.near_km))
+    if request.needs_posting:
+        ids = available(postings, checks, request)
+        rows = rows.join(ids, rows.id == ids.opportunity_id, "left_semi")
+    if intent := tidy(request.intent):
+        wanted = intents.where(F.col("intent_id") == intent) if intents is not None else None
         rows = rows.where(F.lit(False)) if wanted is None else rows.join(wanted, rows.id == wanted.opportunity_id, "left_semi")
-    if request.course:
-        scored = scores.where(F.col("course_id") == request.course)
+    course = tidy(request.course)
+    if course:
+        scored = scores.where(F.col("course_id") == course)
         rows = rows.join(scored, rows.id == scored.opportunity_id, "left_semi")
-    rows = affinity(rows, scores, request.course)
-    return rows.where(F.col("affinity") >= request.min_score) if request.min_score else rows
+    rows = affinity(rows, scores, course)
+    return rows.where(F.col("affinity") >= request.least_score) if request.least_score else rows
 
 
 def ordering(request: SearchRequest) -> list[Column]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewell.datasets import CHECKS_SQL, POSTINGS_SQL, SCORES_SQL, checks, postings, scores, table, text_postings
+from tidewell.datasets import CHECKS_SQL, POSTINGS_SQL, SCORES_SQL, checks, postings, scores, table
 from tidewell.operators import availability, identity, lifecycle
 from tidewell.plans.base import query
 
@@ -162,14 +162,6 @@ def city_company_counts(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("city"), F.col("c_mktsegment").alias("company")).agg(F.countDistinct("c_custkey").alias("n"))
 
 
-@query("""WITH d AS (SELECT source, md5(text) AS url, doc_id AS pos, lang AS country FROM documents)
-SELECT pos, min(pos) OVER (PARTITION BY url, source, country) AS group_position FROM d""")
-def dedup_groups(spark, sf_dir):
-    """Groups of postings with one address: the source keeps its first id only, so each row's id is its source's name here."""
-    rows = text_postings(spark, sf_dir).select(F.md5("description").alias("url"), F.col("doc_id").alias("pos"), "source", F.col("source").alias("source_job_id"), F.lower("source").alias("company_key"), F.coalesce(F.lower("country"), F.lit("x")).alias("title_key"), F.col("country").alias("location_key"))
-    return identity.grouped(rows, "url", "pos", ["location_key"]).select("pos", "group_position")
-
-
 @query("SELECT doc_id, CASE lang WHEN 'de' THEN 'new' WHEN 'fr' THEN 'changed' WHEN 'es' THEN 'reprocess' ELSE 'unchanged' END AS status FROM documents")
 def prepare_status(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", lifecycle.content_hash([F.col("text"), F.col("lang")]).alias("raw_hash"))

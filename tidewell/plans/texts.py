@@ -69,15 +69,51 @@ def salary_extract(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.salary(line).alias("salary"))
 
 
-_KEEP = "list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT (lower(string_split(p, '=')[1]) IN ('fbclid', 'gclid') OR lower(p) LIKE 'utm\\_%' ESCAPE '\\' OR lower(p) LIKE 'mc\\_%' ESCAPE '\\'))"
-_URL = "WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-zA-Z]+)://([^/?#]+)([^?#]*)(\\?([^#]*))?(#(.*))?$', ['s', 'h', 'p', 'x', 'q', 'y', 'f']) AS m FROM pages), v AS (SELECT page_id, m.s AS s, m.h AS h, m.p AS p, m.q AS q, m.y AS y FROM u)"
+_KEY = "lower(url_decode(replace(string_split(p, '=')[1], '+', ' ')))"
+_KEEP = f"list_filter(string_split(q, '&'), lambda p: NOT ({_KEY} IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid') OR starts_with({_KEY}, 'utm_')))"
+_CANONICAL_URLS = f"""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\\?([^#]*))?(#(.*))?$', ['s', 'h', 'p', 'x', 'q', 'y', 'f'], 'i') AS m FROM pages),
+v AS (SELECT page_id, m.s AS s, m.h AS h, m.p AS p, m.q AS q, m.f AS f FROM u),
+c AS (SELECT page_id, p AS path, q, CASE WHEN s = '' OR contains(h, '@') THEN '' ELSE lower(s) || '://' || lower(h) || p || CASE WHEN array_to_string({_KEEP}, '&') <> '' THEN '?' || array_to_string({_KEEP}, '&') ELSE '' END || CASE WHEN f <> '' THEN '#' || f ELSE '' END END AS url FROM v)"""
 
 
-@query(f"{_URL} SELECT page_id, lower(s) || '://' || lower(h) || regexp_replace(p, '/+$', '') || CASE WHEN len({_KEEP}) > 0 THEN '?' || array_to_string({_KEEP}, '&') ELSE '' END || y AS url FROM v")
+@query(f"{_CANONICAL_URLS} SELECT page_id, url FROM c")
 def canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
 
 
+_NAMED = "regexp_full_match({0}, 'v?\\d+([-_].+)?|[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')"
+
+
+@query(f"""{_CANONICAL_URLS}, s AS (SELECT page_id, url, q, string_split(trim(path, '/'), '/') AS seg FROM c WHERE url <> '')
+SELECT page_id, url FROM s WHERE {_NAMED.format('seg[-1]')} OR len(list_filter(range(2, len(seg) + 1), lambda i: seg[i - 1] IN ('job', 'jobs', 'vagas') AND {_NAMED.format('seg[i]')})) > 0
+  OR len(list_filter(string_split(q, '&'), lambda p: {_KEY} IN ('jobid', 'job_id', 'requisitionid', 'gh_jid', 'reqid') AND regexp_matches(p, '^[^=]*=.'))) > 0""")
+def detail_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.detail_url(F.col("url")).alias("url")).where("url is not null")
+
+
+@query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') || lower(regexp_replace(url_decode(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/+$', '')) AS address FROM pages""")
+def catalogue_address(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.catalogue_address(F.col("url")).alias("address"))
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace({_NORM.format('text')}, '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents")
+def place_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.place_key(F.col("text"))).alias("digest"))
+
+
+_ONLY_BR, _ONLY_US, _BR = (", ".join(repr(c) for c in sorted(s)) for s in (set(geo.BR_STATES) - set(geo.US_STATES), set(geo.US_STATES) - set(geo.BR_STATES), set(geo.BR_STATES)))
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, chr(CAST(65 + c_custkey % 26 AS INTEGER)) || chr(CAST(65 + c_custkey // 26 % 26 AS INTEGER)) AS code, c_nationkey AS n FROM customer)
+SELECT id, CASE WHEN n % 5 = 0 THEN 'BR' WHEN n % 5 = 1 THEN 'US' WHEN code IN ({_ONLY_BR}) THEN 'BR' WHEN code IN ({_ONLY_US}) THEN 'US' WHEN n % 5 = 2 AND code IN ({_BR}) THEN 'BR' END AS country FROM c""")
+def infer_country(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_nationkey") % 5
+    letter = lambda c: F.char(F.lit(65) + c % 26)
+    code = F.concat(letter(k), letter(F.floor(k / 26)))
+    place = F.concat(F.initcap("c_mktsegment"), F.when(n == 2, " - ").otherwise(", "), code, F.when(n == 0, ", Brasil").when(n == 1, " (United  States)").otherwise(""))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), geo.infer_country(place).alias("country"))
+
+
 @query("""SELECT page_id, coalesce(list_extract(regexp_extract_all(url, '\\d{4,}'), -1), nullif(list_extract(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> ''), -1), ''), substr(sha1(url), 1, 16)) AS native_id FROM pages""")
 def native_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.native_id(F.col("url")).alias("native_id"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from tidewell.session import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -27,11 +28,6 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return any(f.rstrip("/").endswith(path.rsplit("/", 1)[-1]) for f in spark.read.parquet(path).inputFiles())
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
-
-
 def window_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
