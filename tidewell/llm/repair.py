@@ -9,14 +9,17 @@ common prefix, found over binary-lifting ancestors by rolling hashes; where hash
 Neither of two audits of one cost for the same rows is a proper prefix of the other (equal letters on equal rows cost
 the same, and what follows costs more), so that the least prefix of each state is enough.
 
-Spark sorts each conversation's rows; a task reads them as a stream. What all surviving audits share is settled,
-hashed and dropped, and states that another one beats whatever follows are dropped too, so that a long conversation
-needs memory for its open end alone. Its SHA-256 is one sequential digest, which is why one task reads all its rows.
+Spark sorts each conversation's rows; a task reads them as a stream and holds none: each state has its own running
+SHA-256, and what all surviving audits share is written down and forgotten. States that another one beats whatever
+follows are dropped. Memory goes with the letters on which the surviving audits differ (some 250 bytes each); in the
+worst case, such as a conversation of one role, that is all of them. The digest of a conversation is sequential,
+which is why one task reads all its rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +36,8 @@ NEXT = {START: (USER, "user"), SYSTEM: (USER, "user"), USER: (ASSISTANT, "assist
 #: Initial that a row must have to be kept in each state, and where it leads.
 KEPT = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (USER, "a"): ASSISTANT, (ASSISTANT, "u"): USER}
 LEGAL = {"su", "ua", "au"}
-#: Open rows after which what is settled is looked for.
-SETTLE_ROWS = 128
+#: Nodes after which what is settled is looked for.
+SETTLE_NODES = 1024
 
 BLANK = r"[^\x20\x09-\x0D]"
 _OUT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
@@ -46,22 +49,32 @@ class Trails:
     """Linked audits: a node is a letter after its parent's audit; node 0 is the empty audit."""
 
     def __init__(self) -> None:
-        self.letters, self.depth, self.hash, self.up = [""], [0], [0], [[0]]
+        self.letters, self.depth, self.hash = bytearray(1), array("q", [0]), array("q", [0])
+        #: Ancestors 1, 2, 4, ... letters up; those of a node begin at ``first``.
+        self.first, self.up = array("q", [0]), array("q")
+
+    def __len__(self) -> int:
+        return len(self.letters)
+
+    def parent(self, node: int) -> int:
+        return self.up[self.first[node]]
 
     def add(self, parent: int, letter: str) -> int:
-        up, k = [parent], 0
-        while k < len(self.up[up[k]]) and self.depth[up[k]] >= 1 << k:
-            up.append(self.up[up[k]][k])
-            k += 1
-        self.letters.append(letter)
-        self.depth.append(self.depth[parent] + 1)
+        depth = self.depth[parent] + 1
+        self.first.append(len(self.up))
+        self.up.append(parent)
+        for k in range(depth.bit_length() - 1):
+            parent = self.up[self.first[parent] + k]
+            self.up.append(parent)
+        node, parent = len(self.letters), self.up[self.first[-1]]
+        self.letters.append(ord(letter))
+        self.depth.append(depth)
         self.hash.append((self.hash[parent] * _BASE + ord(letter)) % _MOD)
-        self.up.append(up)
-        return len(self.letters) - 1
+        return node
 
     def ancestor(self, node: int, depth: int) -> int:
         while (ahead := self.depth[node] - depth) > 0:
-            node = self.up[node][min(ahead.bit_length(), len(self.up[node])) - 1]
+            node = self.up[self.first[node] + ahead.bit_length() - 1]
         return node
 
     def text(self, node: int, above: int = 0) -> str:
@@ -69,8 +82,8 @@ class Trails:
         out = []
         while node != above:
             out.append(self.letters[node])
-            node = self.up[node][0]
-        return "".join(reversed(out))
+            node = self.parent(node)
+        return bytes(reversed(out)).decode()
 
     def _same(self, a: int, b: int) -> bool:
         """Whether two audits of one depth are equal: equal hashes are verified up to the node that both share."""
@@ -79,125 +92,135 @@ class Trails:
         while a != b:
             if self.letters[a] != self.letters[b]:
                 return False
-            a, b = self.up[a][0], self.up[b][0]
+            a, b = self.parent(a), self.parent(b)
         return True
 
-    def less(self, a: int, b: int) -> bool:
-        """Whether audit ``a`` comes before audit ``b`` in ASCII order."""
+    def parting(self, a: int, b: int) -> tuple[int, int]:
+        """The first nodes at which two unequal audits of one depth differ: up in ever smaller steps while hashes do."""
+        x, y = a, b
+        for k in range(self.depth[a].bit_length() - 1, -1, -1):
+            if self.depth[x] > 1 << k:
+                up, other = self.up[self.first[x] + k], self.up[self.first[y] + k]
+                if self.hash[up] != self.hash[other]:
+                    x, y = up, other
+        if self._same(self.parent(x), self.parent(y)) and self.letters[x] != self.letters[y]:
+            return x, y
+        # Two prefixes share a hash: letter by letter.
+        x = y = 0
+        while a != b:
+            if self.letters[a] != self.letters[b]:
+                x, y = a, b
+            a, b = self.parent(a), self.parent(b)
+        return x, y
+
+    def less(self, a: int, more: str, b: int, other: str) -> bool:
+        """Whether audit ``a`` and then ``more`` comes before audit ``b`` and then ``other`` in ASCII order."""
         if a == b:
-            return False
+            return more < other
         low = min(self.depth[a], self.depth[b])
         x, y = self.ancestor(a, low), self.ancestor(b, low)
         if self._same(x, y):
-            return self.depth[a] < self.depth[b]
-        for k in range(len(self.up[x]) - 1, -1, -1):
-            if k < len(self.up[x]) and k < len(self.up[y]) and self.hash[self.up[x][k]] != self.hash[self.up[y][k]]:
-                x, y = self.up[x][k], self.up[y][k]
-        if self.letters[x] == self.letters[y] or not self._same(self.up[x][0], self.up[y][0]):
-            return self.text(a) < self.text(b)  # two audits with one hash
+            return self.text(a, x) + more < self.text(b, y) + other
+        x, y = self.parting(x, y)
         return self.letters[x] < self.letters[y]
 
 
+class _Way:
+    """The best way to one state: its cost, the node of its audit, the running digest of its rows."""
+
+    __slots__ = ("cost", "node", "digest")
+
+    def __init__(self, cost: int, node: int, digest) -> None:
+        self.cost, self.node, self.digest = cost, node, digest
+
+    def lines(self, state: int, *parts: bytes):
+        """The digest after one more row; only the first has no line end before it."""
+        digest = self.digest.copy()
+        for part in (b"" if state == START else b"\n", *parts):
+            digest.update(part)
+        return digest
+
+
 class Repair:
-    """The open repair of one conversation; rows come in order."""
+    """The open repair of one conversation; rows come in order and are not held."""
 
     def __init__(self) -> None:
-        self.trails = Trails()
-        self.states: dict[int, tuple[int, int]] = {START: (0, 0)}
-        self.rows: list[tuple[str, str]] = []
-        self.audit: list[str] = []
-        self.digest, self.empty, self.at, self.wait = hashlib.sha256(), True, START, SETTLE_ROWS
-
-    def _offer(self, states: dict[int, tuple[int, int]], state: int, cost: int, parent: int, letter: str) -> None:
-        held = states.get(state)
-        if held is None or cost <= held[0]:
-            node = self.trails.add(parent, letter)
-            if held is None or cost < held[0] or self.trails.less(node, held[1]):
-                states[state] = (cost, node)
-
-    def _inserted(self, states: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
-        """The states that insertions reach as well. Two in a row are as many as the grammar ever needs."""
-        found = dict(states)
-        for state in (START, SYSTEM, ASSISTANT):
-            if state in states:
-                self._offer(found, USER, states[state][0] + INSERT_COST, states[state][1], INSERT)
-        if USER in found:
-            self._offer(found, ASSISTANT, found[USER][0] + INSERT_COST, found[USER][1], INSERT)
+        self.trails, self.audit, self.wait = Trails(), [], SETTLE_NODES
+        self.ways = {START: _Way(0, 0, hashlib.sha256())}
+
+    def _before(self, cost: int, parent: int, letter: str, held: tuple | None) -> bool:
+        return held is None or cost < held[0] or (cost == held[0] and self.trails.less(parent, letter, held[1], held[2]))
+
+    def _inserted(self) -> dict[int, _Way]:
+        """The ways with those that insertions open. Two in a row are as many as the grammar ever needs."""
+        found = dict(self.ways)
+        for to, sources in ((USER, (START, SYSTEM, ASSISTANT)), (ASSISTANT, (USER,))):
+            best, role = None, b"user:" if to == USER else b"assistant:"
+            for state in sources:
+                way = found.get(state)
+                if way is not None and self._before(way.cost + INSERT_COST, way.node, INSERT, best):
+                    best = (way.cost + INSERT_COST, way.node, INSERT, state)
+            held = found.get(to)
+            if best is not None and (held is None or best[0] < held.cost or (best[0] == held.cost and self.trails.less(best[1], INSERT, held.node, ""))):
+                found[to] = _Way(best[0], self.trails.add(best[1], INSERT), found[best[3]].lines(best[3], role))
         return found
 
     def row(self, role: str, text: str, must_go: bool, truncated: bool) -> None:
-        found: dict[int, tuple[int, int]] = {}
+        ways, best = self._inserted(), {}
         initial, more = role[:1], TRUNCATED_COST if truncated else 0
-        for state, (cost, node) in sorted(self._inserted(self.states).items()):
-            self._offer(found, state, cost + DELETE_COST, node, DELETE)
-            if must_go:
-                continue
-            if (state, initial) in KEPT:
-                self._offer(found, KEPT[state, initial], cost + more, node, KEEP)
-            self._offer(found, NEXT[state][0], cost + REROLE_COST + more, node, REROLE)
-        if ASSISTANT in found:
+        for state, way in ways.items():
+            edits = [(DELETE, state, DELETE_COST, None)]
+            if not must_go:
+                to, name = NEXT[state]
+                edits.append((REROLE, to, REROLE_COST + more, name))
+                if (state, initial) in KEPT:
+                    edits.append((KEEP, KEPT[state, initial], more, role))
+            for letter, to, price, name in edits:
+                if self._before(way.cost + price, way.node, letter, best.get(to)):
+                    best[to] = (way.cost + price, way.node, letter, state, name)
+        if ASSISTANT in best:
             # From there all that follows START or SYSTEM can be had, for one deletion at most.
-            least = found[ASSISTANT][0]
-            found = {s: f for s, f in found.items() if f[0] <= least + {START: DELETE_COST, SYSTEM: 0}.get(s, INSERT_COST)}
-        self.states = found
-        self.rows.append((role, text))
-        if len(self.rows) >= self.wait:
+            least = best[ASSISTANT][0]
+            best = {s: b for s, b in best.items() if b[0] <= least + {START: DELETE_COST, SYSTEM: 0}.get(s, INSERT_COST)}
+        body = f":{text}".encode()
+        self.ways = {}
+        for to, (cost, parent, letter, state, name) in best.items():
+            digest = ways[state].digest if name is None else ways[state].lines(state, name.encode(), body)
+            self.ways[to] = _Way(cost, self.trails.add(parent, letter), digest)
+        if len(self.trails) >= self.wait:
             self._settle()
 
-    def _write(self, letters: str) -> None:
-        """Take edits as final: their rows and the digest go on."""
-        taken = iter(self.rows)
-        for letter in letters:
-            if letter == DELETE:
-                next(taken)
-                continue
-            role, text = next(taken) if letter != INSERT else ("", "")
-            if letter == KEEP:
-                self.at = KEPT[self.at, role[:1]]
-            else:
-                self.at, role = NEXT[self.at]
-            self.digest.update(("" if self.empty else "\n").encode() + f"{role}:{text}".encode())
-            self.empty = False
-        self.rows = list(taken)
-        self.audit.append(letters)
-
     def _settle(self) -> None:
-        trails, nodes = self.trails, [n for _, n in self.states.values()]
+        """Write down what all ways share; the open ends go to new lists that share prefixes as before."""
+        trails, nodes = self.trails, [w.node for w in self.ways.values()]
         shared = nodes[0]
         for node in nodes[1:]:
             low = min(trails.depth[shared], trails.depth[node])
             shared, node = trails.ancestor(shared, low), trails.ancestor(node, low)
-            for k in range(len(trails.up[shared]) - 1, -1, -1):
-                if k < len(trails.up[shared]) and trails.up[shared][k] != trails.up[node][k]:
-                    shared, node = trails.up[shared][k], trails.up[node][k]
-            shared = shared if shared == node else trails.up[shared][0]
-        self._write(trails.text(shared))
-        # The open ends, as a list of their own that shares prefixes as before.
-        self.trails, places = Trails(), {shared: 0}
-        for state, (cost, node) in self.states.items():
-            way = []
-            while node not in places:
-                way.append(node)
-                node = trails.up[node][0]
-            for step in reversed(way):
-                places[step] = self.trails.add(places[node], trails.letters[step])
-                node = step
-            self.states[state] = (cost, places[node])
-        self.wait = max(SETTLE_ROWS, 2 * len(self.rows))
+            if not trails._same(shared, node):
+                shared = trails.parent(trails.parting(shared, node)[0])
+        self.audit.append(trails.text(shared))
+        top, self.trails = trails.depth[shared], Trails()
+        # Equal prefixes may be nodes of their own; they become one again.
+        known: dict[tuple[int, str], int] = {}
+        for way in self.ways.values():
+            node = 0
+            for letter in trails.text(way.node, trails.ancestor(way.node, top)):
+                if (node, letter) not in known:
+                    known[node, letter] = self.trails.add(node, letter)
+                node = known[node, letter]
+            way.node = node
+        self.wait = max(SETTLE_NODES, 3 * len(self.trails))
 
     def end(self) -> tuple[int, str, str]:
         """Cost, audit, and hex SHA-256 of the repaired rows."""
-        final: dict[int, tuple[int, int]] = {}
-        found = self._inserted(self.states)
-        for state in (START, ASSISTANT):
-            if state in found:
-                cost, node = found[state]
-                held = final.get(0)
-                if held is None or cost < held[0] or (cost == held[0] and self.trails.less(node, held[1])):
-                    final[0] = (cost, node)
-        cost, node = final[0]
-        self._write(self.trails.text(node))
-        return cost, "".join(self.audit), self.digest.hexdigest()
+        ways = self._inserted()
+        final = [ways[s] for s in (START, ASSISTANT) if s in ways]
+        best = final[0]
+        for way in final[1:]:
+            if way.cost < best.cost or (way.cost == best.cost and self.trails.less(way.node, "", best.node, "")):
+                best = way
+        return best.cost, "".join([*self.audit, self.trails.text(best.node)]), best.digest.hexdigest()
 
 
 class _Conversation:
