@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,12 +53,35 @@ def place_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(normalize(text), "[^a-z0-9]+", " "))
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; those that no text may hold give U+FFFD."""
+    fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).when(code.isNotNull(), "\ufffd")
+
+
+#: Names of HTML 4 characters, as one constant.
+_NAMES = "\x1f".join(f"{name}\x1e{chr(code)}" for name, code in [*name2codepoint.items(), ("apos", 39)])
+
+
+def unescape(text: Column) -> Column:
+    """Text with numeric and named (HTML 4) character references taken as the characters that they stand for.
+
+    A reference is one pass: ``&amp;lt;`` gives ``&lt;``. References without a semicolon and unknown names stay.
+    """
+    names = F.str_to_map(F.lit(_NAMES), F.lit("\x1f"), F.lit("\x1e"))
+    part = F.regexp_extract_all(text, F.lit(r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        inner = F.substring(p, 2, F.length(p) - 2)
+        number = F.when(inner.rlike("^#[0-9]"), F.substring(inner, 2, 9).try_cast("long")).when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, 3, 9), 16, 10).try_cast("long"))
+        return F.when(p.rlike(r"\A&[^&]*;\z"), F.coalesce(_character(number), names[inner], p)).otherwise(p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(part, one), "")).otherwise(text)
+
+
 def clean_html(text: Column) -> Column:
-    """Canonical words of a text with tags and the common entities taken out."""
-    plain_text = F.coalesce(text, F.lit(""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain_text = F.replace(plain_text, F.lit(entity), F.lit(char))
-    return canonical(F.regexp_replace(plain_text, "<[^>]+>", " "))
+    """Canonical words of a text with character references resolved and tags taken out."""
+    return canonical(F.regexp_replace(unescape(F.coalesce(text, F.lit(""))), "<[^>]+>", " "))
 
 
 def _term_pattern(term: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,3 +117,29 @@ def stable_id(source: Column, source_id: Column) -> Column:
 def shard_number(key: Column, shards: int) -> Column:
     """The first eight bytes of a SHA-256, modulo ``shards``: the same on any machine."""
     return F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(shards)).cast("int")
+
+
+def joined(base: str, href: Column) -> Column:
+    """The absolute address of a link on a page at ``base``, without fragment; null stays null."""
+    parts = urlsplit(base)
+    root, folder = f"{parts.scheme}://{parts.netloc}", parts.path.rsplit("/", 1)[0] + "/"
+    link = F.regexp_replace(F.trim(href), "(?s)#.*", "")
+    query = f"?{parts.query}" if parts.query else ""
+    whole = (
+        F.when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.lit(f"{parts.scheme}:"), link))
+        .when(link.startswith("/"), F.concat(F.lit(root), link))
+        .when(link == "", F.lit(root + parts.path + query))
+        .when(link.startswith("?"), F.concat(F.lit(root + parts.path), link))
+        .otherwise(F.concat(F.lit(root + folder), link))
+    )
+    return F.when(whole.rlike(r"/\.\.?(?:[/?]|\z)"), _without_dots(whole)).otherwise(whole)
+
+
+def _without_dots(url: Column) -> Column:
+    """An address whose path has no ``.`` and ``..`` segments."""
+    head, path, query = (F.regexp_extract(url, r"(?s)\A([^:]*://[^/?]*)([^?]*)(.*)\z", i) for i in (1, 2, 3))
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s)))
+    tidy = F.aggregate(F.slice(F.split(path, "/"), 2, F.length(path) + 1), F.array().cast("array<string>"), step)
+    closing = F.when(path.rlike(r"/\.\.?\z") & (F.size(tidy) > 0), "/").otherwise("")
+    return F.concat(head, F.lit("/"), F.array_join(tidy, "/"), closing, query)

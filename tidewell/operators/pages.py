@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,22 @@ def probe_decisions(items: DataFrame, scan: str, page: str, item: str, needed: i
     safe = F.when(F.col("n") == 0, F.col("turn") > 1).otherwise(reason == "no news")
     decided = F.min_by(F.struct(F.col(page).alias("page"), safe.alias("safe"), reason.alias("reason")), F.when(reason.isNotNull(), F.col("turn")))
     return rows.groupBy(scan).agg(decided.alias("d")).select(scan, "d.page", "d.safe", "d.reason")
+
+
+def looked_back(lines: DataFrame, doc: str, line_no: str, is_head: Column, is_mark: Column, reach: int) -> DataFrame:
+    """``lines`` with ``mark``: for a head the number of the nearest earlier line that is a mark, at most ``reach`` rows back; else null.
+
+    A null flag is false. Lines of one document that share a number are in no defined order.
+    """
+    before = Window.partitionBy(doc).orderBy(line_no).rowsBetween(-reach, -1)
+    nearest = F.last(F.when(is_mark, F.col(line_no)), ignorenulls=True).over(before)
+    return lines.withColumn("mark", F.when(is_head, nearest))
+
+
+def next_actions(rows: DataFrame, doc: str, place: str, is_head: Column, is_action: Column, within: int) -> DataFrame:
+    """``rows`` with ``action``: for a head the place of the first action after it, at most ``within`` rows on and before the next head; else null."""
+    ahead = Window.partitionBy(doc).orderBy(place).rowsBetween(1, within)
+    first_of = lambda flag: F.min(F.when(flag, F.col(place))).over(ahead)
+    both = rows.withColumns({"__head": first_of(is_head), "__action": first_of(is_action)})
+    found = F.col("__head").isNull() | (F.col("__action") < F.col("__head"))
+    return both.withColumn("action", F.when(is_head & found, F.col("__action"))).drop("__head", "__action")
