@@ -76,6 +76,22 @@ def references(rows: DataFrame, group: str) -> DataFrame:
     return rows.where("source is not null and source_job_id is not null and url is not null").select(group, "source", "source_job_id", "url").distinct()
 
 
+def carried(rows: DataFrame) -> Column:
+    """All (source, source_job_id, url) that a row stands for: its own and, in a column ``source_references``, those merged into it."""
+    kind = "array<struct<source:string,source_job_id:string,url:string>>"
+    own = F.when(F.col("source").isNotNull() & F.col("source_job_id").isNotNull() & F.col("url").isNotNull(), F.array(F.struct("source", "source_job_id", "url")))
+    held = F.col("source_references") if "source_references" in rows.columns else F.lit(None)
+    return F.concat(F.coalesce(held.cast(kind), F.array().cast(kind)), F.coalesce(own, F.array().cast(kind)))
+
+
+def merged_with_references(rows: DataFrame, group: str, position: str) -> DataFrame:
+    """:func:`merged` rows with ``source_references``, the sorted set of all references of a group's members and of those
+    merged into them before. Sets meet in partial aggregates, so that merging in steps gives what merging at once does."""
+    held = rows.withColumn("__held", carried(rows)).groupBy(F.col(group).alias("__group")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("__held")))).alias("source_references"))
+    plain = merged(rows.drop("source_references"), group, position)
+    return plain.join(held, plain[group].eqNullSafe(held["__group"])).drop("__group")
+
+
 def source_deduplicated(rows: DataFrame, position: str) -> DataFrame:
     """Rows with repeated (source, id) merged; every row without them stays on its own."""
     key = F.coalesce(F.to_json(identified(rows)), F.concat(F.lit("row "), F.col(position).cast("string")))
@@ -92,6 +108,8 @@ def comparable(rows: DataFrame, strict: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with the keys by which postings are compared: address, company and title (null where they say
     nothing), loose attributes (null where absent) and strict ones (an empty string where absent)."""
     read = {"url_key": canonical_url(F.col("url")), "company_key": canonical(F.col("company")), "title_key": canonical(F.col("title")), "id_key": F.to_json(identified(rows))}
+    if "source_references" in rows.columns:
+        read["id_set"] = F.filter(carried(rows), lambda r: (r["source"] != "") & (r["source_job_id"] != ""))
     read |= {f"{c}_key": F.when(_present(c), F.col(c).cast("string") if c == "published_at" else canonical(F.col(c))) for c in LOOSE}
     read |= {f"{c}_key": canonical(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in strict}
     telling = F.col("company_key") != "", ~F.col("company_key").isin(*GENERIC_COMPANIES)
@@ -99,10 +117,16 @@ def comparable(rows: DataFrame, strict: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumns(read).withColumns({"url_key": F.when(names_posting(F.col("url_key")), F.col("url_key")), "company_key": F.when(telling[0] & telling[1], F.col("company_key")), "title_key": F.nullif("title_key", F.lit(""))})
 
 
-def conflict(a: str, b: str, strict: tuple[str, ...] = ()) -> Column:
-    """The first reason why two comparable rows, in columns ``a`` and ``b``, are no one posting; null if they may be."""
+def conflict(a: str, b: str, strict: tuple[str, ...] = (), sets: bool = False) -> Column:
+    """The first reason why two comparable rows, in columns ``a`` and ``b``, are no one posting; null if they may be.
+
+    With ``sets`` merged rows conflict by every id that they carry: one source with two ids among both.
+    """
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    ids = (x("source") == y("source")) & (x("id_key") != y("id_key"))
+    if sets:
+        ids = F.exists(x("id_set"), lambda i: F.exists(y("id_set"), lambda j: (i["source"] == j["source"]) & (i["source_job_id"] != j["source_job_id"])))
+    else:
+        ids = (x("source") == y("source")) & (x("id_key") != y("id_key"))
     reason = F.when(F.coalesce(ids, F.lit(False)), "id")
     for c in ("company", "title"):
         reason = reason.when(~F.coalesce(x(f"{c}_key") == y(f"{c}_key"), F.lit(False)), c)
