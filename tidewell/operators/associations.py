@@ -86,7 +86,7 @@ def children(postings: DataFrame, desired: DataFrame, affected: DataFrame) -> tu
     """
     members = postings.join(desired.join(affected, "opportunity_id", "left_semi").select(*KEYS, "opportunity_id"), KEYS)
     scores = members.select("opportunity_id", F.explode("course_scores").alias("course_id", "score")).groupBy("opportunity_id", "course_id").agg(F.max(F.greatest(F.col("score").cast("int"), F.lit(0))).alias("score"))
-    intents = members.select("opportunity_id", F.explode(F.transform("intents", F.trim)).alias("intent_id")).where("intent_id <> ''").distinct()
+    intents = members.select("opportunity_id", F.explode(F.transform("intents", lambda i: F.trim(i))).alias("intent_id")).where("intent_id <> ''").distinct()
     return scores, intents
 
 
