@@ -1,7 +1,12 @@
 """The corpus pipeline: documents to packed training sequences.
 
 Each stage works on all rows that its predecessor kept. Between stages the rows are written as
-Parquet to the shared folder and read again, so that a lost executor costs one stage at most.
+Parquet to the shared folder and read again, so that a lost executor costs one stage at most. A stage
+frees the broadcasts and scratch tables of those before it, whose results are written by then.
+
+Null texts count as empty: toxicity and quality decide on them by score, near-dedup keeps one of all null and empty
+texts, pii leaves nulls as they are, and packing gives each its end id. Repeated rows are alike to the models and one
+class to near-dedup. An empty table gives an empty one. Columns beyond those of documents are passed on until packing.
 """
 
 from __future__ import annotations
@@ -10,31 +15,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import near_dedup, packing, pii, quality, toxicity
-from tidewell.llm.common import stored, table
+from tidewell.llm.common import release, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not flag."""
+    release(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    release(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    release(spark)
     return near_dedup.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced by its kind and ``n_chars`` to match."""
+    release(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of related documents."""
+    release(spark)
     return packing.pack(docs)
 
 
@@ -53,5 +63,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +33,41 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+#: Broadcasts and scratch folders of this driver that :func:`release` frees.
+_broadcasts: list[Broadcast] = []
+_folders: list[str] = []
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path for a table in the shared folder; unless it is to be kept, :func:`release` deletes it."""
+    path = f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _folders.append(path)
+    return path
+
+
+def broadcasted(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that :func:`release` destroys."""
+    _broadcasts.append(spark.sparkContext.broadcast(value))
+    return _broadcasts[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Destroy the broadcasts and delete the scratch tables made so far.
+
+    Only for callers that have written every result that came from them: plans that still need them fail afterwards.
+    """
+    while _broadcasts:
+        _broadcasts.pop().destroy()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, *partition_by: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name, keep)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewell.llm.common import gather, sliced, stored, table
+from tidewell.llm.common import broadcasted, gather, sliced, stored, table
 from tidewell.llm.components import components
 from tidewell.llm.units import split_units, strings
 
@@ -292,7 +292,7 @@ def shared_shingles(words: DataFrame, n_shingles: int) -> DataFrame:
     several = np.zeros((n_blocks, CELL_BLOCK), np.uint8)
     for block, raw in words.select("words").mapInArrow(cells, schema).repartition(min(64, n_blocks), "block").mapInArrow(merge, schema).select("block", "more").collect():
         several[block] = np.frombuffer(raw, np.uint8)
-    table_of = words.sparkSession.sparkContext.broadcast(several.ravel())
+    table_of = broadcasted(words.sparkSession, several.ravel())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = table_of.value

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import WORD_VOCABULARY
-from tidewell.llm.common import crc_of_ids, sliced, stored, table
+from tidewell.llm.common import broadcasted, crc_of_ids, sliced, stored, table
 from tidewell.llm.units import library_encoder
 
 SEQUENCE = 4096
@@ -190,12 +190,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
     frequency = np.zeros(VOCABULARY_SIZE, np.int64)
     for term, n in encoded.where("kind = 1").groupBy("term").agg(F.sum("n")).collect():
         frequency[term] = n
-    idf = spark.sparkContext.broadcast(np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)))
+    idf = broadcasted(spark, np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)))
     mean = n_ids / max(n_docs, 1)
     shard_docs = SHARD_DOCS
     n_shards = max(1, -(-n_docs // shard_docs), -(-n_ids // SHARD_IDS))
     # an id that one document alone has relates it to none
-    ranks = spark.sparkContext.broadcast(signature_ranks(np.where(frequency > 1, idf.value, 0)))
+    ranks = broadcasted(spark, signature_ranks(np.where(frequency > 1, idf.value, 0)))
     places = [f"place_{i}" for i in range(SIGNATURE)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import sliced, table, texts_of
+from tidewell.llm.common import broadcasted, sliced, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest candidate segment.
@@ -350,7 +350,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     A null text counts as empty and has no span. Every row gives one row, repeated ones and those
     without an id included; other columns are not read; an empty table gives an empty one.
     """
-    model = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col))
+    model = broadcasted(df.sparkSession, fit(df, id_col, text_col))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -380,7 +380,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with personal data in ``text_col`` replaced; all columns stay, null texts stay null."""
-    model = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col))
+    model = broadcasted(df.sparkSession, fit(df, id_col, text_col))
     at = df.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import held_out, sliced, table
+from tidewell.llm.common import broadcasted, held_out, sliced, table
 from tidewell.llm.labelled import labelled_sample
 from tidewell.llm.units import split_units, strings
 
@@ -191,7 +191,7 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Word vectors from all texts; the network from at most ``labelled.SAMPLE_ROWS`` labelled rows."""
     vectors = word_vectors(neighbour_sums(docs, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    shared = broadcasted(docs.sparkSession, vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; a null text counts as empty. Repeated rows and
     those without an id are scored each; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcasted(docs.sparkSession, model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """The rows, all columns, whose text scores at or above the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcasted(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

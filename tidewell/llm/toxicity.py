@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import gather, held_out, sliced, stored, table
+from tidewell.llm.common import broadcasted, gather, held_out, sliced, stored, table
 from tidewell.llm.labelled import labelled_sample
 from tidewell.llm.units import split_units, strings
 
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     buckets = buckets[np.concatenate([alone, frequent])]
     slot = np.full(BUCKETS, -1, np.int32)
     slot[buckets] = np.arange(len(buckets))
-    shared = docs.sparkSession.sparkContext.broadcast(slot)
+    shared = broadcasted(docs.sparkSession, slot)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; a null text counts as empty. Repeated rows and
     those without an id are scored each; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcasted(docs.sparkSession, model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
     """The rows, all columns, whose text scores below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcasted(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
