@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.datasets import VISITS_SQL, visits
+from tidewell.datasets import VISITS_SQL, table, visits
 from tidewell.operators import associations as A
-from tidewell.operators import identity
+from tidewell.operators import identity, references
 from tidewell.plans.base import query
 
 _UUID = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr({0}, 17, 1))::INT % 4 + 1 AS BIGINT), 1) || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
@@ -96,3 +96,25 @@ def reference_merge(spark, sf_dir):
         "title": F.when(k % 3 > 0, F.concat("title", F.repeat(F.lit("!"), (k % 7 * 11).cast("int")))), "url": F.when(k % 4 > 0, F.col("url")), "discovered_from": F.col("source"),
     })
     return A.merged_references(rows, ["user_id"], "pos", "source").withColumn("methods", F.array_join("methods", ","))
+
+
+@query("""SELECT CAST(opportunity_id AS VARCHAR) AS opportunity_id, "table", CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT l_orderkey AS opportunity_id, 'applications' AS "table" FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT o_orderkey, 'favourites' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT user_id, 'visits' FROM events
+) WHERE opportunity_id IS NOT NULL GROUP BY 1, 2""")
+def personal_references(spark, sf_dir):
+    """Which tables refer to an opportunity, and how often, found by their schemas."""
+    return references.reference_counts(_personal(spark, sf_dir), "opportunity_id")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND coalesce(o_orderpriority, '') <> '1-URGENT' AND o_orderkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""")
+def unreferenced_opportunities(spark, sf_dir):
+    """Opportunities that nobody's rows refer to."""
+    return references.unreferenced(table(spark, sf_dir, "orders"), "o_orderkey", _personal(spark, sf_dir), "opportunity_id").select("o_orderkey")
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    named = lambda t, c, where: table(spark, sf_dir, t).where(where).withColumnRenamed(c, "opportunity_id")
+    return {
+        "applications": named("lineitem", "l_orderkey", "l_returnflag = 'R'"), "favourites": named("orders", "o_orderkey", "o_orderpriority = '1-URGENT'").withColumnRenamed("opportunity_id", "OPPORTUNITY_ID"),
+        "visits": named("events", "user_id", "true"), "nations": table(spark, sf_dir, "nation"),
+    }
