@@ -155,3 +155,14 @@ def test_distances(spark):
 def test_accents_cover_the_latin_blocks():
     assert text._BASE[text._ACCENTED.index("ę")] == "e"
     assert all(unicodedata.normalize("NFKD", a)[0] == b for a, b in zip(text._ACCENTED, text._BASE, strict=True))
+
+
+def test_normalize_decomposes_the_basic_plane(spark):
+    # characters that this Python's tables know; the JVM's may be newer
+    rows = [chr(c) for c in [*range(0x20, 0xAC00), *range(0xE000, 0xFFFE)] if unicodedata.category(chr(c)) != "Cn"]
+    words = ["".join(rows[i : i + 40]) for i in range(0, len(rows), 40)] + ["ﬁnal oﬃce ½ № ™ Ⅳ", "été", "ΆΣ ほが", "plain  ASCII\ttext"]
+    words = [w for w in words if w.lower() == w or w.isascii() or len(w) < 40]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = {r.t: r.n for r in df.select("t", text.normalize(F.col("t")).alias("n")).collect()}
+    wrong = [(w, got[w], text.plain(w)) for w in words if got[w] != text.plain(w)]
+    assert len(words) > 500 and not wrong

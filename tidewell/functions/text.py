@@ -11,19 +11,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accent_pairs() -> tuple[str, str]:
-    """Characters that decompose into one ASCII character and combining marks (accented, full-width, raised), and it;
-    of the Latin blocks (U+00C0 to U+024F, U+1E00 to U+1EFF) all letters, with their first one."""
-    pairs = []
-    for c in map(chr, [*range(0xA1, 0xD800), *range(0xF900, 0x10000)]):
-        base = [b for b in unicodedata.normalize("NFKD", c) if not unicodedata.combining(b)]
-        latin = "\u00c0" <= c < "\u0250" or "\u1e00" <= c < "\u1f00"
-        if base and base[0].isascii() and base[0] not in " \t" and base[0] != c and (len(base) == 1 or latin):
-            pairs.append((c, base[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_ACCENTED, _BASE = _accent_pairs()
+def _ranges(characters: Iterable[str]) -> str:
+    """The inside of a character class."""
+    codes, out = sorted(map(ord, characters)), []
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+def _decompositions() -> tuple[str, str, dict[str, str], str]:
+    """Of the basic plane: characters that decompose into one character and marks, and that one; those that decompose into
+    several (ligatures, fractions, signs), with them; the class of marks. Syllables of Hangul are left as they are."""
+    single, several, marks = [], {}, []
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)]):
+        whole = unicodedata.normalize("NFKD", c)
+        base = "".join(b for b in whole if not unicodedata.combining(b))
+        if not base:
+            marks.append(c)
+        elif whole != c and len(base) == 1:
+            single.append((c, base))
+        elif whole != c and len(base) > 1:
+            several[c] = base
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several, _ranges(marks)
+
+
+_ACCENTED, _BASE, _SEVERAL, _MARKS = _decompositions()
+_PARTS = "\x1f".join(f"{c}\x1e{parts}" for c, parts in _SEVERAL.items())
 
 
 def plain(value: str) -> str:
@@ -32,14 +48,21 @@ def plain(value: str) -> str:
     return re.sub(r"\s+", " ", "".join(c for c in folded if not unicodedata.combining(c))).strip()
 
 
+def _decomposed(lower: Column) -> Column:
+    several, kind = F.str_to_map(F.lit(_PARTS), F.lit("\x1f"), F.lit("\x1e")), _ranges(_SEVERAL)
+    pieces = F.regexp_extract_all(lower, F.lit(f"[{kind}]|[^{kind}]+"), F.lit(0))
+    whole = F.when(lower.rlike(f"[{kind}]"), F.array_join(F.transform(pieces, lambda p: F.coalesce(several[p], p)), "")).otherwise(lower)
+    return F.regexp_replace(F.translate(whole, _ACCENTED, _BASE), f"[{_MARKS}]+", "")
+
+
 def normalize(text: Column) -> Column:
     """Lower case, without accents, white space collapsed; null gives an empty string.
 
-    Accented letters of the Latin blocks, full-width and raised characters become their base by translation, and
-    combining marks are removed; characters that stand for several others (ligatures) stay as they are.
+    Characters of the basic plane are decomposed (NFKD): accented letters become their base, ligatures and signs the
+    characters that they stand for, and combining marks are removed. Texts of ASCII alone are only put in lower case.
     """
-    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _BASE)
-    bare = F.regexp_replace(lower, "[\\u0300-\\u036f]", "")
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.when(lower.rlike(r"[^\x00-\x7F]"), _decomposed(lower)).otherwise(lower)
     return F.trim(F.regexp_replace(bare, "(?U)\\s+", " "))
 
 
