@@ -24,7 +24,7 @@ def _ranges(characters: Iterable[str]) -> str:
 
 def _decompositions() -> tuple[str, str, dict[str, str], str]:
     """Of the basic plane: characters that decompose into one character and marks, and that one; those that decompose into
-    several (ligatures, fractions, signs), with them; the class of marks. Syllables of Hangul are left as they are."""
+    several (ligatures, fractions, signs), with them; marks. Syllables of Hangul are left as they are."""
     single, several, marks = [], {}, []
     for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)]):
         whole = unicodedata.normalize("NFKD", c)
@@ -35,10 +35,11 @@ def _decompositions() -> tuple[str, str, dict[str, str], str]:
             single.append((c, base))
         elif whole != c and len(base) > 1:
             several[c] = base
-    return "".join(a for a, _ in single), "".join(b for _, b in single), several, _ranges(marks)
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several, "".join(marks)
 
 
 _ACCENTED, _BASE, _SEVERAL, _MARKS = _decompositions()
+_LATIN_END = "\u0250"
 _PARTS = "\x1f".join(f"{c}\x1e{parts}" for c, parts in _SEVERAL.items())
 
 
@@ -51,8 +52,12 @@ def plain(value: str) -> str:
 def _decomposed(lower: Column) -> Column:
     several, kind = F.str_to_map(F.lit(_PARTS), F.lit("\x1f"), F.lit("\x1e")), _ranges(_SEVERAL)
     pieces = F.regexp_extract_all(lower, F.lit(f"[{kind}]|[^{kind}]+"), F.lit(0))
-    whole = F.when(lower.rlike(f"[{kind}]"), F.array_join(F.transform(pieces, lambda p: F.coalesce(several[p], p)), "")).otherwise(lower)
-    return F.regexp_replace(F.translate(whole, _ACCENTED, _BASE), f"[{_MARKS}]+", "")
+    # a cheap look first: most texts have Latin letters alone
+    maybe = lower.rlike(f"[{_ranges(c for c in _SEVERAL if c < _LATIN_END)}{_LATIN_END}-\uffff]")
+    has = maybe & (F.length(F.translate(lower, "".join(_SEVERAL), "")) < F.length(lower))
+    whole = F.when(has, F.array_join(F.transform(pieces, lambda p: F.coalesce(several[p], p)), "")).otherwise(lower)
+    # marks have no counterpart, so that they are taken out
+    return F.translate(whole, _ACCENTED + _MARKS, _BASE)
 
 
 def normalize(text: Column) -> Column:
