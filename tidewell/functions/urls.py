@@ -122,16 +122,25 @@ def shard_number(key: Column, shards: int) -> Column:
 def joined(base: str, href: Column) -> Column:
     """The absolute address of a link on a page at ``base``, without fragment; null stays null."""
     parts = urlsplit(base)
-    root, folder = f"{parts.scheme}://{parts.netloc}", parts.path.rsplit("/", 1)[0] + "/"
+    return _absolute(*map(F.lit, (parts.scheme, parts.netloc, parts.path, parts.query)), href)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """:func:`joined` where each row has its own base; null where that is no http or https address."""
+    part = lambda i: F.regexp_extract(base, _WEB, i)
+    return F.when(part(2) != "", _absolute(F.lower(part(1)), part(2), part(3), part(4), href))
+
+
+def _absolute(scheme: Column, host: Column, path: Column, query: Column, href: Column) -> Column:
+    root, folder = F.concat(scheme, F.lit("://"), host), F.concat(F.regexp_replace(path, r"/?[^/]*\z", ""), F.lit("/"))
     link = F.regexp_replace(F.trim(href), "(?s)#.*", "")
-    query = f"?{parts.query}" if parts.query else ""
     whole = (
         F.when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.lit(f"{parts.scheme}:"), link))
-        .when(link.startswith("/"), F.concat(F.lit(root), link))
-        .when(link == "", F.lit(root + parts.path + query))
-        .when(link.startswith("?"), F.concat(F.lit(root + parts.path), link))
-        .otherwise(F.concat(F.lit(root + folder), link))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link == "", F.concat(root, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .otherwise(F.concat(root, folder, link))
     )
     return F.when(whole.rlike(r"/\.\.?(?:[/?]|\z)"), _without_dots(whole)).otherwise(whole)
 

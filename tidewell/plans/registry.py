@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import catalogue_search, entities, links, listings, maintenance, relations, scores, streams, texts  # noqa: F401  they register their queries
+from tidewell.plans import catalogue_search, discoveries, entities, links, listings, maintenance, relations, scores, streams, texts  # noqa: F401  they register their queries
 from tidewell.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def written(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a table of the shared folder: read many times, computed once, and safe when executors are lost."""
-    path = shared_folder(rows.sparkSession, name)
+    return _put(rows, shared_folder(rows.sparkSession, name))
+
+
+def _put(rows: DataFrame, path: str) -> DataFrame:
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Like :func:`written`, for tables that are deleted when the block ends: what leaves it must not read them."""
+    paths: list[str] = []
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        paths.append(shared_folder(spark, name))
+        return _put(rows, paths[-1])
+
+    try:
+        yield put
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
