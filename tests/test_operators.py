@@ -235,3 +235,18 @@ def test_intents(spark):
     terms = {"internship": ["estágio"], "trainee": ["trainee"]}
     got = df.select(scoring.detect_intents(F.col("t"), F.col("e"), F.col("d"), terms, {"graduate": ["graduate program"]})).collect()
     assert [r[0] for r in got] == [["internship", "graduate"], ["trainee"]]
+
+
+def test_affinity_reasons_say_what_told_and_stay_silent_below_their_score(spark):
+    courses = {"law": scoring.Course(direct=("law",), strong=("court",), weak=("legal",), course=("law",), profession=("lawyer",)), "art": scoring.Course(direct=("art",), strong=("paint",))}
+    rows = [("law clerk", "degree in law"), ("legal aide", "lawyer"), ("clerk", "court"), ("clerk", "court law"), ("art", "court law"), ("clerk", "nothing"), (None, None)]
+    found = scoring.affinity_scores(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, title string, description string"), courses, (), ("degree",))
+    say, got = scoring.AFFINITY_REASONS, {r.id: (r.course_scores["law"], r.course_reasons.get("law")) for r in found.collect()}
+    assert got[0] == (96, [say["direct"], say["education"]])
+    assert got[1] == (62, [say["weak"], say["profession"]])
+    assert got[2] == (35, [say["skills"]])
+    assert got[3] == (46, [say["course"], say["skills"]])
+    assert got[4] == (28, None)  # the title tells another course
+    assert got[5] == got[6] == (0, None)
+    # a filter on the reasons stays above the stages
+    assert {r.id for r in found.where("size(course_reasons) > 0").select("id").collect()} == {0, 1, 2, 3, 4}

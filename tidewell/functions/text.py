@@ -154,23 +154,29 @@ def within_context(canonical_text: Column, terms: Iterable[str], context: Iterab
     """
     padded = F.concat(F.lit(" "), canonical_text, F.lit(" "))
     wanted = F.array(*(F.lit(f" {c} ") for c in context if c))
+    told = lambda w: F.exists(wanted, lambda c: F.contains(w, c))
     result = F.lit(False)
     for term in terms:
-        reach = width // (len(term) + 1) + 2
-        pieces = F.split(padded, f"(?<= ){re.escape(term)}(?= )")
-        result = result | F.exists(_windows(pieces, term, width, reach), lambda w: F.exists(wanted, lambda c: F.contains(F.concat(F.lit(" "), w, F.lit(" ")), c)))
+        # texts without the term are not split
+        result = result | F.contains(padded, F.lit(f" {term} ")) & _any_window(padded, term, width, told)
     return result
 
 
-def _windows(pieces: Column, term: str, width: int, reach: int) -> Column:
-    heads, tails = F.transform(pieces, lambda p: F.left(p, F.lit(width + 1))), F.transform(pieces, lambda p: F.right(p, F.lit(width + 1)))
+def _any_window(padded: Column, term: str, width: int, told) -> Column:
+    """Whether a window around the term fulfils ``told``. Arrays of one element hold what inner functions use many times,
+    which each of their calls would compute anew."""
+    reach = width // (len(term) + 1) + 2
+    edge = F.lit(width + 1)
+    ends = lambda pieces: F.struct(F.transform(pieces, lambda p: F.left(p, edge)).alias("heads"), F.transform(pieces, lambda p: F.right(p, edge)).alias("tails"))
 
-    def window(k: Column) -> Column:
-        before = F.array_join(F.slice(tails, F.greatest(F.lit(1), k - reach + 1), F.least(k, F.lit(reach))), term)
-        after = F.array_join(F.slice(heads, k + 1, reach), term)
-        return F.concat(F.right(F.left(before, F.length(before) - 1), F.lit(width)), F.lit(f" {term} "), F.left(F.substr(after, F.lit(2)), F.lit(width)))
+    def window(e: Column, k: Column) -> Column:
+        before = F.array_join(F.slice(e["tails"], F.greatest(F.lit(1), k - reach + 1), F.least(k, F.lit(reach))), term)
+        after = F.array_join(F.slice(e["heads"], k + 1, reach), term)
+        return F.concat(F.lit(" "), F.right(F.left(before, F.length(before) - 1), F.lit(width)), F.lit(f" {term} "), F.left(F.substr(after, F.lit(2)), F.lit(width)), F.lit(" "))
 
-    return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), window)).otherwise(F.array().cast("array<string>"))
+    places = lambda e: F.when(F.size(e["heads"]) > 1, F.sequence(F.lit(1), F.size(e["heads"]) - 1)).otherwise(F.array().cast("array<int>"))
+    pieces = F.array(F.split(padded, f"(?<= ){re.escape(term)}(?= )"))
+    return F.exists(F.transform(pieces, ends), lambda e: F.exists(places(e), lambda k: F.exists(F.array(window(e, k)), told)))
 
 
 def slug(text: Column, separator: str = "-") -> Column:

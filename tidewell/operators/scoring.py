@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.geo import distance_bonus, haversine_km, tells_remote
 from tidewell.functions.text import WORKPLACES, canonical, clean_html, first_match, has_phrase, has_term, matching_terms, near, normalize, phrases, place_key, within_context
+from tidewell.sources.html import settled
 
 #: Intents that satisfy a wanted one.
 COMPATIBLE = {"internship": ("internship", "summer_internship", "co_op")}
@@ -54,8 +55,22 @@ def title_level(title: Column, course: Course, roles: Iterable[str]) -> Column:
     return level.when(has_phrase(title, course.strong), 2).when(has_phrase(title, course.weak), 1).otherwise(0)
 
 
+#: What is said about the affinity to a course; the score from which, and how much of it.
+AFFINITY_REASONS = {
+    "direct": "curso/profissão explícita no título",
+    "strong": "especialidade fortemente ligada ao curso no título",
+    "weak": "área relacionada no título",
+    "education": "curso citado em requisito/formação",
+    "profession": "profissão da área descrita na vaga",
+    "course": "curso citado na descrição",
+    "skills": "competências centrais da área na descrição",
+}
+REASONED_SCORE, MAX_REASONS = 35, 3
+
+
 def affinity_scores(rows: DataFrame, courses: Mapping[str, Course], roles: Iterable[str], education: Iterable[str], title: str = "title", description: str = "description") -> DataFrame:
-    """``rows`` with ``course_scores``, a map of every course to 0..100.
+    """``rows`` with ``course_scores``, a map of every course to 0..100, and ``course_reasons``, a map of courses with at
+    least 35 points to what tells for them: the title, the course in the text, skills in it.
 
     Cleaned texts, title levels and evidence are columns of their own stages, so that each is
     computed once for all courses.
@@ -72,7 +87,7 @@ def affinity_scores(rows: DataFrame, courses: Mapping[str, Course], roles: Itera
             f"__profession_{i}": has_phrase(body, c.profession), f"__education_{i}": within_context(body, c.course, education, CONTEXT_WIDTH),
         }
     staged = staged.withColumns(evidence)
-    scores = []
+    final, reasons = {}, {}
     for i, n in enumerate(names):
         c = courses[n]
         level, strong, weak, direct, profession, educated = (F.col(f"__{k}_{i}") for k in ("level", "strong", "weak", "course", "profession", "education"))
@@ -96,8 +111,19 @@ def affinity_scores(rows: DataFrame, courses: Mapping[str, Course], roles: Itera
             words, cap = c.cap_title
             score = F.when((level < 3) & has_phrase(F.col("__title"), words), F.least(score, F.lit(cap))).otherwise(score)
         score = F.when((level == 0) & ~educated & (score < 20), 0).otherwise(score)
-        scores += [F.lit(n), F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")]
-    return staged.withColumn("course_scores", F.create_map(*scores)).drop(*(c for c in staged.columns if c.startswith("__")))
+        final[f"__score_{i}"] = F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")
+        say = AFFINITY_REASONS
+        why = [
+            F.when(level == 3, say["direct"]).when(level == 2, say["strong"]).when(level == 1, say["weak"]), F.when(educated, say["education"]).when(profession, say["profession"]).when(direct, say["course"]),
+            F.when((strong > 0) & (level == 0) & ~educated & ~profession, say["skills"]),
+        ]
+        reasons[n] = F.slice(F.array_compact(F.array(*why)), 1, MAX_REASONS)
+    staged = staged.withColumns(final)
+    entries = [F.when(F.col(f"__score_{i}") >= REASONED_SCORE, F.struct(F.lit(n).alias("key"), reasons[n].alias("value"))) for i, n in enumerate(names)]
+    scores = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"__score_{i}"))))
+    told = F.map_from_entries(F.filter(F.array_compact(F.array(*entries)), lambda e: F.size(e["value"]) > 0))
+    # filters on the results stay above, where else they would compute all stages again below
+    return settled(staged, [c for c in staged.columns if not c.startswith("__")], course_scores=scores, course_reasons=told)
 
 
 @dataclass(frozen=True)

@@ -70,6 +70,18 @@ def affinity_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", *(F.col("course_scores")[k].alias(k) for k in COURSES))
 
 
+def _why(k: str) -> str:
+    say = {n: f"'{x}'" for n, x in scoring.AFFINITY_REASONS.items()}
+    return f"""SELECT doc_id, '{k}' AS course, concat_ws('; ', CASE level_{k} WHEN 3 THEN {say['direct']} WHEN 2 THEN {say['strong']} WHEN 1 THEN {say['weak']} END, CASE WHEN education_{k} THEN {say['education']} WHEN profession_{k} THEN {say['profession']} WHEN course_{k} THEN {say['course']} END,
+      CASE WHEN strong_{k} > 0 AND level_{k} = 0 AND NOT education_{k} AND NOT profession_{k} THEN {say['skills']} END) AS reasons FROM z WHERE {_score(k)} >= 35"""
+
+
+@query(f"{_SCORED.replace('z AS (', 'z AS MATERIALIZED (')} SELECT * FROM ({' UNION ALL '.join(map(_why, COURSES))}) WHERE reasons <> ''")
+def affinity_reasons(spark, sf_dir):
+    """What tells for each course to which a posting has affinity."""
+    return _scored(spark, sf_dir).select("doc_id", F.explode("course_reasons").alias("course", "reasons")).withColumn("reasons", F.array_join("reasons", "; "))
+
+
 PROFILES = (
     scoring.Profile("strict", courses=("letters",), include=("idiot", "the"), exclude=("moron",), countries=("EN", "DE"), minimum_score=30),
     scoring.Profile("open", courses=(), include=("que",), exclude=("loser", "clown"), minimum_score=50),
