@@ -117,3 +117,24 @@ def test_regional_search_and_its_remote_rows(spark):
     near = places.cities_in_radius(centres, cities, 1).select("city.name", "distance_km", "rank").collect()
     assert list(map(tuple, near)) == [("Campinas", 0.0, 1)]
     assert [r[0] for r in places.cities_in_radius(centres.drop("country_code"), cities).orderBy("rank").select("city.name").collect()] == ["Abroad", "Campinas", "Small"]
+
+
+def pairs_formed(monkeypatch):
+    """Counts of the centres and points that are handed to near_pairs."""
+    seen, plain = [], places.near_pairs
+    monkeypatch.setattr(places, "near_pairs", lambda centres, points, *a: seen.append((centres.count(), points.count())) or plain(centres, points, *a))
+    return seen
+
+
+def test_cities_of_one_spot_meet_a_centre_once(spark, monkeypatch):
+    seen, draw = pairs_formed(monkeypatch), random.Random(3)
+    spots = [(0.0, 0.0), (0.0, 0.1), (0.1, 0.0), (0.3, 0.3), (None, 0.0)]
+    cities = [(f"c{draw.randrange(90)}", *draw.choice(spots), draw.choice([None, "AA", "BB"]), draw.choice([None, 1, 2, 3])) for _ in range(400)]
+    centres = [(i, 0.0, i / 50, draw.choice([0.0, 20.0, 60.0]), draw.choice([None, "", "aa", "BB", "XX"])) for i in range(30)]
+    cols = "latitude double, longitude double"
+    got = places.cities_in_radius(spark.createDataFrame(centres, f"id int, {cols}, radius_km double, country_code string"), spark.createDataFrame(cities, f"name string, {cols}, country_code string, population int"), 7).orderBy("rank").collect()
+    for i, lat, lon, radius, country in centres:
+        near = [(round(d, 1), -(p or 0), n) for n, a, b, c, p in cities if a is not None and (not country or country.upper() == c) and (d := km(lat, lon, a, b)) <= max(1.0, radius)]
+        rows = [(r.distance_km, r.city.population, r.city.name, r["rank"]) for r in got if r.centre.id == i]
+        assert [(r[0], -(r[1] or 0), r[2]) for r in rows] == sorted(near)[:7] and [r[3] for r in rows] == list(range(1, len(rows) + 1))
+    assert seen[0][1] <= 4 * 3
