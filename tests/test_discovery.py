@@ -138,3 +138,12 @@ def test_cities_of_one_spot_meet_a_centre_once(spark, monkeypatch):
         rows = [(r.distance_km, r.city.population, r.city.name, r["rank"]) for r in got if r.centre.id == i]
         assert [(r[0], -(r[1] or 0), r[2]) for r in rows] == sorted(near)[:7] and [r[3] for r in rows] == list(range(1, len(rows) + 1))
     assert seen[0][1] <= 4 * 3
+
+
+def test_regional_search_compares_equal_circles_and_spots_once(spark, monkeypatch):
+    seen, cols = pairs_formed(monkeypatch), "latitude double, longitude double"
+    jobs = spark.createDataFrame([(i, "", "", "", i % 3 / 10, 0.0, "", "") for i in range(60)] + [(99, "", "", "", 9.0, None, "", "")], f"id long, location string, workplace_type string, title string, {cols}, city_hint string, country_hint string")
+    centres = spark.createDataFrame([(i, 0.0, 0.0, 12.0) for i in range(20)] + [(50, None, 0.0, 9.0)], f"id int, {cols}, radius_km double")
+    got = places.regional(jobs, centres, jobs.limit(0), "id").select("centre.id", "posting.id", "distance_km").collect()
+    assert sorted(map(tuple, got)) == sorted((c, i, [0.0, 11.1][i % 3]) for c in range(20) for i in range(60) if i % 3 < 2)
+    assert seen == [(2, 3)]
