@@ -104,3 +104,8 @@ def test_programmes(spark):
         ("cia_estagios:4444", "Programa Jovem Aprendiz Eta", "Eta", "apprentice"),
         ("cia_estagios:98765", "Programa de Estágio ACME 2027", "ACME", "internship"),
     ]
+
+
+def test_pages_are_not_merged_into_few_tasks(spark):
+    plan = H.elements(pages(spark, "<p>a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [key#" in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')}" in plan.split("RepartitionByExpression")[1].split("\n")[0]

@@ -36,7 +36,8 @@ def settled(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 def tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, at, kind (1 start, -1 end, 0 text), name, href, classes, text, empty (an element that has no content)."""
-    found = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).dropDuplicates(["key"])
+    # A page's tokens take many times its bytes and its cards much more time: a count that is named is not merged by bytes.
+    found = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key"])
     each = found.select("key", F.posexplode(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))).alias("at", "token"))
     name = F.when(F.col("token").startswith("<"), F.lower(F.regexp_extract("token", r"\A</?([A-Za-z][^\s/>]*)", 1)))
     each = settled(each, each.columns, name=F.nullif(name, F.lit(""))).where("name is null or name not in ('script', 'style')").where("name is not null or not (token like '<!%' or token like '<?%')")
