@@ -166,3 +166,11 @@ def test_normalize_decomposes_the_basic_plane(spark):
     got = {r.t: r.n for r in df.select("t", text.normalize(F.col("t")).alias("n")).collect()}
     wrong = [(w, got[w], text.plain(w)) for w in words if got[w] != text.plain(w)]
     assert len(words) > 500 and not wrong
+
+
+def test_a_text_is_normalised_once_for_all_phrases(spark):
+    rows = spark.createDataFrame([("Ação in the sea",), ("in  THE",), (None,), ("within them",)], "t string")
+    found = rows.where(text.has_phrase(text.canonical(F.col("t")), ["in the", "de la"]))
+    assert [r[0] for r in found.collect()] == ["Ação in the sea", "in  THE"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert rows.where(text.has_phrase(F.col("t"), [])).count() == 0

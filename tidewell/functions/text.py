@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
 from html.entities import name2codepoint
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +68,9 @@ def normalize(text: Column) -> Column:
     Characters of the basic plane are decomposed (NFKD): accented letters become their base, ligatures and signs the
     characters that they stand for, and combining marks are removed. Texts of ASCII alone are only put in lower case.
     """
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    bare = F.when(lower.rlike(r"[^\x00-\x7F]"), _decomposed(lower)).otherwise(lower)
-    return F.trim(F.regexp_replace(bare, "(?U)\\s+", " "))
+    # an array of one element holds the lower case, which a filter would compute for each of its uses
+    bare = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda lower: F.when(lower.rlike(r"[^\x00-\x7F]"), _decomposed(lower)).otherwise(lower))
+    return F.trim(F.regexp_replace(F.get(bare, F.lit(0)), "(?U)\\s+", " "))
 
 
 def canonical(text: Column) -> Column:
@@ -135,7 +137,9 @@ def phrases(canonical_text: Column, terms: Iterable[str]) -> Column:
 
 
 def has_phrase(canonical_text: Column, terms: Iterable[str]) -> Column:
-    return F.size(phrases(canonical_text, terms)) > 0
+    wanted = [f" {t} " for t in terms if t]
+    # the text is computed once, not for every phrase
+    return F.exists(F.array(F.concat(F.lit(" "), F.coalesce(canonical_text, F.lit("")), F.lit(" "))), lambda padded: reduce(or_, (F.contains(padded, F.lit(w)) for w in wanted), F.lit(False)))
 
 
 def near(canonical_text: Column, left: Iterable[str], right: Iterable[str], distance: int) -> Column:
