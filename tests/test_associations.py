@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import associations as A
 from tidewell.operators import identity
+from tidewell.plans import links
 
 SCHEMA = "pos long, source string, source_job_id string, url string, company string, title string, description string, location string, workplace_type string, employment_type string, published_at string, first_seen_at string, last_changed_at string"
 
@@ -96,3 +97,20 @@ def test_merged_rows_conflict_by_every_id(spark):
     a, b = (rows.where(F.col("g") == i).select(F.struct(*rows.columns).alias(n)) for i, n in ((1, "a"), (2, "b")))
     both = a.join(b, F.lit(True))
     assert both.select(identity.conflict("a", "b", sets=True)).first()[0] == "id" and both.select(identity.conflict("a", "b")).first()[0] is None
+
+
+def test_rebuild_reads_its_postings_once(spark, sf_dir):
+    """Every branch of the rebuild reads the stored postings; none decodes the events anew."""
+    assert not [f for f in links.association_rebuild(spark, sf_dir).inputFiles() if "events.parquet" in f]
+
+
+def test_keys_are_computed_once(spark):
+    """No filter below the grouping computes the keys a second time."""
+    seen = []
+    real = identity.written
+    identity.written = lambda rows, name: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or real(rows, name)
+    try:
+        identity.grouped(spark.createDataFrame([posting(1, "a", "1", "https://x.org/jobs/1")], SCHEMA), "pos")
+    finally:
+        identity.written = real
+    assert not [line for line in seen[0].splitlines() if "Filter" in line and "https?" in line]

@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+import re
 import unicodedata
 import uuid
 
@@ -174,3 +176,23 @@ def test_a_text_is_normalised_once_for_all_phrases(spark):
     assert [r[0] for r in found.collect()] == ["Ação in the sea", "in  THE"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert rows.where(text.has_phrase(F.col("t"), [])).count() == 0
+
+
+def test_canonical_url_of_any_order_of_signs(spark):
+    """Addresses are cut as one expression over the whole would."""
+    web = re.compile(r"(?is)^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$")
+    fine = re.compile(r"(?is)^https?://(:?@)?[^/?#@:][^/?#@]*(?![^/?#])")
+    pick = random.Random(3)
+    pieces = ["https://", "HTTP://", "X.org", "a:80", "@", "/", "//", "?", "#", "&", "utm_source=a", "b=1", "jobId=7", "=", ":", "é", " ", "\t", "\n", "12", "jobs"]
+    addresses = ["".join(pick.choices(["https://", "http://", ""], [6, 2, 1]) + pick.choices(["X.org", ""], [6, 1]) + pick.choices(pieces, k=pick.randrange(9))) for _ in range(3000)]
+
+    def want(url):
+        raw = re.sub("[\t\r\n]", "", url.strip(" "))
+        if not fine.search(raw):
+            return ""
+        scheme, host, path, query, fragment = (g or "" for g in web.match(raw).groups())
+        kept = "&".join(p for p in query.split("&") if not p.split("=")[0].startswith("utm_"))
+        return f"{scheme.lower()}://{host.lower()}{path}" + (kept and f"?{kept}") + (fragment and f"#{fragment}")
+
+    df = spark.createDataFrame([(u,) for u in addresses], "u string").select("u", urls.canonical_url(F.col("u")).alias("c"))
+    assert [(r.u, r.c) for r in df.collect() if r.c != want(r.u)] == []

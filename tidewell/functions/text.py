@@ -68,19 +68,25 @@ def normalize(text: Column) -> Column:
     Characters of the basic plane are decomposed (NFKD): accented letters become their base, ligatures and signs the
     characters that they stand for, and combining marks are removed. Texts of ASCII alone are only put in lower case.
     """
+    return F.trim(F.regexp_replace(_bare(text), "(?U)\\s+", " "))
+
+
+def _bare(text: Column) -> Column:
+    """:func:`normalize` before white space is collapsed."""
     # an array of one element holds the lower case, which a filter would compute for each of its uses
     bare = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda lower: F.when(lower.rlike(r"[^\x00-\x7F]"), _decomposed(lower)).otherwise(lower))
-    return F.trim(F.regexp_replace(F.get(bare, F.lit(0)), "(?U)\\s+", " "))
+    return F.get(bare, F.lit(0))
 
 
 def canonical(text: Column) -> Column:
     """Words of letters, digits, + and # with single spaces between them, after :func:`normalize`."""
-    return F.trim(F.regexp_replace(normalize(text), "[^a-z0-9+#]+", " "))
+    # white space is among what becomes a space
+    return F.trim(F.regexp_replace(_bare(text), "[^a-z0-9+#]+", " "))
 
 
 def place_key(text: Column) -> Column:
     """Words of letters and digits with single spaces between them, after :func:`normalize`."""
-    return F.trim(F.regexp_replace(normalize(text), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(_bare(text), "[^a-z0-9]+", " "))
 
 
 def _character(code: Column) -> Column:

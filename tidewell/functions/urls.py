@@ -34,11 +34,21 @@ def canonical_url(url: Column) -> Column:
 
     Null, other schemes than http and https, no host, and credentials give an empty string.
     """
-    raw = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "[\\t\\r\\n]", "")
-    part = lambda i: F.regexp_extract(raw, _WEB, i)
-    kept = F.array_join(F.filter(F.split(part(4), "&"), lambda p: ~_key(p).rlike(TRACKING)), "&")
-    led = lambda sign, text: F.regexp_replace(F.concat(F.lit(sign), text), f"^[{sign}]$", "")
-    whole = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), part(3), led("?", kept), led("#", part(5)))
+    # an array of one element holds the trimmed address, which each of its uses would compute anew
+    raw = F.array(F.translate(F.trim(F.coalesce(url, F.lit(""))), "\t\r\n", ""))
+    return F.get(F.transform(raw, _canonical), F.lit(0))
+
+
+def _canonical(raw: Column) -> Column:
+    """Cut at the first number sign, then at the first question mark and the third slash: no expression is matched for parts."""
+    led = lambda sign, text: F.when(text != "", F.concat(F.lit(sign), text)).otherwise("")
+    base = F.substring_index(raw, "#", 1)
+    head = F.substring_index(base, "?", 1)
+    origin = F.substring_index(head, "/", 3)
+    rest = lambda whole, part: F.substr(whole, F.length(part) + 2)
+    kept = F.array_join(F.filter(F.split(rest(base, head), "&"), lambda p: ~_key(p).rlike(TRACKING)), "&")
+    query = F.when(base.contains("?"), led("?", kept)).otherwise("")
+    whole = F.concat(F.lower(origin), F.substr(head, F.length(origin) + 1), query, F.when(raw.contains("#"), led("#", rest(raw, base))).otherwise(""))
     # with a host and without a name or password before it
     return F.when(raw.rlike("(?is)^https?://(:?@)?[^/?#@:][^/?#@]*(?![^/?#])"), whole).otherwise("")
 
@@ -49,8 +59,14 @@ _ID = r"(v?\p{Nd}+([-_][^/]+)?|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12
 def names_posting(canonical: Column) -> Column:
     """Whether a canonical address names one posting: its last path segment, or one right below a segment for jobs, is a
     number (a "v" before or a text after it may stand) or a UUID, or a parameter for ids has a value."""
-    path = F.regexp_extract(canonical, _WEB, 3)
-    query = F.split(F.regexp_extract(canonical, _WEB, 4), "&")
+    return F.get(F.transform(F.array(canonical), _names), F.lit(0))
+
+
+def _names(canonical: Column) -> Column:
+    base = F.substring_index(canonical, "#", 1)
+    head = F.substring_index(base, "?", 1)
+    path = F.substr(head, F.length(F.substring_index(head, "/", 3)) + 1)
+    query = F.split(F.substr(base, F.length(head) + 2), "&")
     in_path = path.rlike(rf"(?s)(^|/){_ID}/*$|/({'|'.join(ID_PARENTS)})/{_ID}(/|$)")
     return in_path | F.exists(query, lambda p: _key(p).isin(*ID_PARAMETERS) & p.rlike("(?s)^[^=]*=."))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import canonical
 from tidewell.functions.urls import canonical_url, names_posting
 from tidewell.session import written
+from tidewell.sources.html import settled
 
 #: Company names that say nothing.
 GENERIC_COMPANIES = ("gupy", "99jobs", "vagas com", "empresa nao identificada", "ciee empresa nao identificada")
@@ -216,21 +217,22 @@ def grouped(rows: DataFrame, position: str, strict: tuple[str, ...] = ()) -> Dat
     loose = [f"{c}_key" for c in LOOSE]
     keyed = comparable(rows, strict)
     by = ["url_key", "company_key", "title_key", *(f"{c}_key" for c in strict)]
-    slim = keyed.where("url_key is not null and company_key is not null and title_key is not null").select(
-        F.sha2(F.to_json(F.struct(*by)), 256).alias("bucket"), F.col(position).cast("long").alias("at"),
-        F.when(F.col("id_key").isNotNull(), F.col("source")).alias("origin"),
-        *(F.when(F.col(c).isNotNull(), F.sha2(c, 256)).alias(c) for c in loose),
-    )
-    # read several times below
-    slim = written(slim, "grouped")
-    lacks = slim.groupBy("bucket").agg(F.count("*").alias("n"), *(F.max(F.col(c).isNull()).alias(f"lacks_{c}") for c in loose))
-    whole = slim.join(lacks.where("n > 1"), "bucket")
+    full = F.col("url_key").isNotNull() & F.col("company_key").isNotNull() & F.col("title_key").isNotNull()
+    # a filter on the keys themselves would compute them once more below it
+    slim = settled(
+        keyed, [], bucket=F.when(full, F.sha2(F.to_json(F.struct(*by)), 256)), at=F.col(position).cast("long"), origin=F.when(F.col("id_key").isNotNull(), F.col("source")),
+        **{c: F.when(F.col(c).isNotNull(), F.sha2(c, 256)) for c in loose},
+    ).where("bucket is not null")
+    # read several times below; rows that agree in bucket and loose attributes are of one kind
+    slim = written(slim.withColumn("kind", F.sha2(F.to_json(F.struct("bucket", *loose)), 256)), "grouped")
+    kinds = slim.groupBy("kind").agg(F.first("bucket").alias("bucket"), F.count("*").alias("n"), F.bool_and(F.col("origin").isNotNull()).alias("named"), *(F.first(c).alias(c) for c in loose))
+    lacks = kinds.groupBy("bucket").agg(F.sum("n").alias("in_bucket"), *(F.max(F.col(c).isNull()).alias(f"lacks_{c}") for c in loose))
+    whole = kinds.join(lacks.where("in_bucket > 1"), "bucket")
     whole = whole.withColumn("part", F.sha2(F.to_json(F.struct("bucket", *(F.when(~F.col(f"lacks_{c}"), F.col(c)).alias(c) for c in loose))), 256))
-    kinds = whole.groupBy("part").agg(F.count("*").alias("in_part"), F.bool_and(F.col("origin").isNotNull()).alias("named"), *(F.min(c).alias(f"low_{c}") for c in loose), *(F.max(c).alias(f"high_{c}") for c in loose), *(F.max(F.col(c).isNull()).alias(f"gap_{c}") for c in loose))
-    even = F.lit(True)
-    for c in loose:
-        even = even & ((F.col(f"low_{c}").isNull()) | (~F.col(f"gap_{c}") & (F.col(f"low_{c}") == F.col(f"high_{c}"))))
-    parts = whole.join(kinds.where("in_part > 1").select("part", (even & F.col("named")).alias("even")), "part").select("part", "at", "origin", "even", *loose)
+    # a part that is one kind agrees in all
+    of_part = whole.groupBy("part").agg(F.sum("n").alias("in_part"), (F.bool_and("named") & (F.count("*") == 1)).alias("even"))
+    listed = whole.select("kind", "part", *loose).join(of_part.where("in_part > 1").select("part", "even"), "part")
+    parts = slim.select("kind", "at", "origin").join(listed, "kind").select("part", "at", "origin", "even", *loose)
     parts = written(parts, "grouped-parts")
     ranked = parts.where("even").withColumn("r", F.row_number().over(Window.partitionBy("part", "origin").orderBy("at")))
     heads = ranked.groupBy("part", "r").agg(F.min("at").alias("group_position"))

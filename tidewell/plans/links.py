@@ -9,6 +9,7 @@ from tidewell.datasets import VISITS_SQL, table, visits
 from tidewell.operators import associations as A
 from tidewell.operators import identity, references
 from tidewell.plans.base import query
+from tidewell.session import written
 
 _UUID = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr({0}, 17, 1))::INT % 4 + 1 AS BIGINT), 1) || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
 _NAMED = """sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || CAST('["' || {0}.source || '","' || {0}.source_job_id || '"]' AS BLOB))"""
@@ -33,6 +34,8 @@ def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     text = lambda at: F.date_format(at, "yyyy-MM-dd HH:mm:ss")
     later = F.col("ts").cast("timestamp") + F.make_interval(hours=F.col("k").cast("int"))
     rows = visits(spark, sf_dir).withColumns({"published_at": F.lit(None).cast("string"), "description": F.lit(None).cast("string"), "location": F.concat(F.lit("Town "), (F.col("k") % 3).cast("string")), "first_seen_at": text(F.col("ts").cast("timestamp")), "last_changed_at": text(later)})
+    # read some ten times below
+    rows = written(rows, "postings")
     desired = A.desired_links(identity.grouped(rows, "pos"), "group_position")
     old = rows.groupBy("user_id", "title", (F.col("k") % 4 == 0).alias("alone"), (F.col("k") % 3 == 0).alias("town")).agg(F.min("pos").alias("first"))
     before = rows.withColumns({"alone": F.col("k") % 4 == 0, "town": F.col("k") % 3 == 0}).join(old, ["user_id", "title", "alone", "town"]).withColumn("group_old", F.when(F.col("alone"), F.col("pos")).otherwise(F.col("first")))
