@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewell.llm import bpe, elias_fano, packing, token_ids
+from tidewell.llm import bpe, elias_fano, packing, token_ids, units
 from tidewell.llm.common import table
 from tidewell.llm.units import as_array, library_encoder
 
@@ -188,3 +188,21 @@ def test_shards_are_cut_where_neighbours_differ_most():
     assert packing.cut_point(places) == 4
     assert packing.cut_point(places[:2]) == 1
     assert packing.cut_point(places[2:4]) == 1
+
+
+def test_units_of_a_batch_are_told_apart_together(monkeypatch):
+    """No expression is matched in Python for each unit, and ids equal the library's."""
+    def refuse(unit):
+        raise AssertionError(unit)
+
+    monkeypatch.setattr(units, "_LATIN", refuse)
+    monkeypatch.setattr(units, "_LOADED", {})
+    texts = ["Größe, hey! hey\nStraße\n\nx 12 ÇA.", "", None, "one two,, two", "\nhey ŁÓDŹ ok", "a", " "]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        whole = Tokenizer.from_file(units.tokenizer_path(name))
+        whole.no_truncation()
+        whole.no_padding()
+        want = [np.array(whole.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+        encoder = units.library_encoder(name)
+        assert encoder.encode(units.as_array(texts)) == want
+        assert encoder.encode(units.as_array(["", None])) == [b"", b""] and encoder.encode(units.as_array([])) == []

@@ -12,6 +12,7 @@ Python sees each distinct unit of a batch once.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterable
@@ -28,6 +29,7 @@ _OPEN, _NONE = pa.scalar("\n\n", pa.large_string()), pa.scalar("", pa.large_stri
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _STOPS = ".,;:!?"
 _LATIN = re.compile(f"[ \\n][{_LETTERS}]+").fullmatch
+_LATIN_UNIT = f"\\A[ \\n][{_LETTERS}]+\\z"
 
 #: Distinct words that a worker keeps ids of; the cache starts anew beyond it.
 MAX_WORDS = 300_000
@@ -98,12 +100,17 @@ class UnitEncoder:
         unseen = [w for w in words if w not in known]
         known.update(zip(unseen, self.encode_units(list(map(unit_text, unseen))), strict=True))
         of_word = list(map(known.__getitem__, words))
-        of_unit = list(map(of_word.__getitem__, bare.indices.to_pylist()))
-        for at, key in zip(np.flatnonzero(marked).tolist(), strings(keys.filter(marked)), strict=True):
-            of_unit[at] += self._stop(key[len(key.rstrip(_STOPS)) :])
-        ends = np.cumsum(n_units).tolist()
-        indices = units.indices.to_numpy()
-        return [b"".join(map(of_unit.__getitem__, indices[a:b].tolist())) for a, b in zip([0, *ends], ends)]  # noqa: B905
+        # words with stops behind them come after the words
+        stopped, at = np.flatnonzero(marked), bare.indices.to_numpy().copy()
+        for i, key in zip(at[stopped].tolist(), strings(keys.filter(marked)), strict=True):
+            of_word.append(of_word[i] + self._stop(key[len(key.rstrip(_STOPS)) :]))
+        at[stopped] = np.arange(len(words), len(of_word))
+        flat = pa.array(of_word, pa.large_binary()).take(pa.array(at[units.indices.to_numpy()]))
+        if not flat.nbytes or flat.buffers()[2] is None:
+            return [b""] * len(n_units)
+        borders = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset :][np.cumsum([0, *n_units])].tolist()
+        raw = memoryview(flat.buffers()[2])
+        return [raw[a:b].tobytes() for a, b in itertools.pairwise(borders)]
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -164,10 +171,16 @@ def library_encoder(name: str) -> UnitEncoder:
             weight[i] = token.endswith("</w>") if word_ends else len(token)
         line_end = b"" if word_ends else vocab[letters[0x0A]].to_bytes(2, "little")
 
-        def spelled(unit: str) -> str:
-            text = unit[1:].lower() if word_ends else unit[1:]
-            text = text if text.isascii() else "".join(map(spell, text.encode()))
-            return text if word_ends or unit[0] == "\n" else letters[0x20] + text
+        def spelled(units: pa.Array) -> list[str]:
+            words = pc.utf8_slice_codeunits(units, 1)
+            words = pc.utf8_lower(words) if word_ends else words
+            out = strings(words)
+            for i in np.flatnonzero(pc.invert(pc.string_is_ascii(words))).tolist():
+                out[i] = "".join(map(spell, out[i].encode()))
+            if not word_ends:
+                opens = pc.starts_with(units, "\n").to_pylist()
+                out = [w if at_line else letters[0x20] + w for w, at_line in zip(out, opens, strict=True)]
+            return out
 
         def one_by_one(tok: Tokenizer, units: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
@@ -191,10 +204,10 @@ def library_encoder(name: str) -> UnitEncoder:
 
         def encode_units(units: list[str]) -> list[bytes]:
             out: list[bytes] = [b""] * len(units)
-            easy, rest = [], []
-            for i, unit in enumerate(units):
-                (easy if _LATIN(unit) else rest).append(i)
-            for i, ids in zip(easy, encode_words([spelled(units[i]) for i in easy]), strict=True):
+            column = pa.array(units, pa.large_string())
+            latin = pc.match_substring_regex(column, _LATIN_UNIT)
+            easy, rest = (np.flatnonzero(m.to_numpy(zero_copy_only=False)).tolist() for m in (latin, pc.invert(latin)))
+            for i, ids in zip(easy, encode_words(spelled(column.filter(latin))), strict=True):
                 out[i] = line_end + ids if units[i][0] == "\n" else ids
             for at in range(0, len(rest), 4096):
                 some = rest[at : at + 4096]
