@@ -196,3 +196,11 @@ def test_canonical_url_of_any_order_of_signs(spark):
 
     df = spark.createDataFrame([(u,) for u in addresses], "u string").select("u", urls.canonical_url(F.col("u")).alias("c"))
     assert [(r.u, r.c) for r in df.collect() if r.c != want(r.u)] == []
+
+
+def test_terms_are_matched_where_their_first_word_stands(spark):
+    """A cheap look for the first word comes before each expression, and changes no result."""
+    df = spark.createDataFrame([("the  idiot said",), ("idiotic",), ("head of it",), ("of head",), ("",)], "t string")
+    found = df.select(text.matching_terms(F.col("t"), ["Idiot", "head of", "thé"]).alias("f"))
+    assert [r.f for r in found.collect()] == [["Idiot", "thé"], [], ["head of"], [], []]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 3
