@@ -206,3 +206,54 @@ def test_units_of_a_batch_are_told_apart_together(monkeypatch):
         encoder = units.library_encoder(name)
         assert encoder.encode(units.as_array(texts)) == want
         assert encoder.encode(units.as_array(["", None])) == [b"", b""] and encoder.encode(units.as_array([])) == []
+
+
+def test_a_word_is_encoded_once_for_all_its_forms(monkeypatch):
+    """Case, line ends and marks behind a word make no new word for a vocabulary of lower-case words."""
+    monkeypatch.setattr(units, "_LOADED", {})
+    encoder = units.library_encoder("word_bpe_49k.json")
+    asked = []
+    encode_units = encoder.encode_units
+
+    def recorded(found):
+        asked.extend(found)
+        return encode_units(found)
+
+    monkeypatch.setattr(encoder, "encode_units", recorded)
+    texts = ["Größe größe\ngröße GRÖSSE größe$$$ Größe.&&& größe,### größe)", "\nGröße %%%"]
+    whole = library("word_bpe_49k.json")
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert encoder.encode(as_array(texts)) == want
+    assert [u for u in asked if u.strip().lower().startswith("größe")] == [" größe"]
+    assert encoder.encode(as_array([*texts, "größe&&&&"])) == [*want, np.array(whole.encode("größe&&&&").ids, "<u2").tobytes()]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marks_behind_words_give_the_ids_of_whole_texts(name, monkeypatch):
+    monkeypatch.setattr(units, "MAX_STOPS", 20)
+    rng = random.Random(3)
+    parts = ["Word", "é", "ß", "́", "'s", "'", "|>", "<|", "<|endoftext|>", "\n", " ", " ", "1", "·", *units._STOPS]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    want = [e.ids for e in library(name).encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = library_encoder(name)
+    got = [b for at in range(0, len(texts), 500) for b in encoder.encode(as_array(texts[at : at + 500]))]
+    assert [np.frombuffer(b, "<u2").tolist() for b in got] == want
+
+
+def test_occurrences_of_ids_in_documents():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 9, n).astype("<u2") for n in (0, 5, 30, 1)] + [np.array([65535, 0, 65535], "<u2")]
+    for more in (0, 1 << 16):  # with more than 65,536 documents, too
+        flat, lengths = packing.joined([d.tobytes() for d in docs] + [b""] * more)
+        want = sorted((t, i, int((d == t).sum())) for i, d in enumerate(docs) for t in set(d.tolist()))
+        assert list(zip(*(x.tolist() for x in packing.occurrences(flat, lengths)), strict=True)) == want
+
+
+def test_frequent_terms_have_rows_and_rare_ones_lists():
+    docs = [np.array([1, 2, 2, 10 + i // 2], np.uint16) for i in range(20)]
+    idf = np.linspace(0.1, 1, 64)
+    index = packing.ShardIndex(docs, idf, 4.0)
+    assert index.rows.shape == (2, 20) and len(index.owners) == 20
+    part = lambda t, tf: idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1)
+    want = part(1, 1) + part(2, 2)
+    assert np.allclose(index.scores(5), [want + (part(12, 1) if i in (4, 5) else 0) for i in range(20)])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import WORD_VOCABULARY
-from tidewell.llm.common import broadcasted, crc_of_ids, sliced, stored, table
+from tidewell.llm.common import broadcasted, crc_of_ids, runs, sliced, stored, table
 from tidewell.llm.units import library_encoder
 
 SEQUENCE = 4096
@@ -31,18 +31,29 @@ SHARD_DOCS, SHARD_IDS = 1024, 2_000_000
 #: MinHashes that order the documents, and shards in a partition of that order.
 SIGNATURE, PARTITION_SHARDS = 4, 8
 K1, B = 1.2, 0.75
+#: A term that at least one in so many documents of a shard has gets a whole row in the shard's index.
+OFTEN = 4
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _ENCODED = pa.schema([("kind", pa.int32()), ("deal", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("term", pa.int32())])
 
 
-def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different ids of a document in order, and how often each occurs. (A stable sort of 16-bit ids is a radix
-    sort, which is several times as fast as a general one.)"""
-    ordered = np.sort(ids, kind="stable")
-    at = np.flatnonzero(np.concatenate([[len(ids) > 0], ordered[1:] != ordered[:-1]]))
-    return ordered[at], np.diff(at, append=len(ids))
+def joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents, one after another, and how many each has."""
+    return np.frombuffer(b"".join(docs), "<u2"), np.array([len(d) // 2 for d in docs], np.int64)
+
+
+def occurrences(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (term, document) pairs by term, then document, and how often each occurs."""
+    narrow = len(lengths) <= 0x10000
+    pairs = flat.astype(np.uint32 if narrow else np.uint64)
+    pairs <<= 16 if narrow else 32
+    pairs |= np.repeat(np.arange(len(lengths), dtype=pairs.dtype), lengths)
+    pairs.sort()
+    at = np.flatnonzero(np.concatenate([[len(pairs) > 0], pairs[1:] != pairs[:-1]]))
+    found = pairs[at]
+    return (found >> (16 if narrow else 32)).astype(np.uint16), (found & (0xFFFF if narrow else 0xFFFFFFFF)).astype(np.int64), np.diff(at, append=len(pairs))
 
 
 def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
@@ -58,11 +69,10 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
         row = TaskContext.get().partitionId() << 40
         for batch in sliced(batches):
             keys, blobs = batch.column(0), [b + end for b in encoder.encode(batch.column(1))]
-            for blob in blobs:
-                frequency[distinct(np.frombuffer(blob, "<u2"))[0]] += 1
+            flat, lengths = joined(blobs)
+            frequency += np.bincount(occurrences(flat, lengths)[0], minlength=VOCABULARY_SIZE)
             n = len(blobs)
-            lengths = pa.array([len(b) // 2 for b in blobs], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.arange(row, row + n)), keys, lengths, pa.array(blobs, pa.binary()), pa.nulls(n, pa.int32())], schema=_ENCODED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.arange(row, row + n)), keys, pa.array(lengths), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int32())], schema=_ENCODED)
             row += n
         terms = np.flatnonzero(frequency)
         n = len(terms)
@@ -76,28 +86,33 @@ class ShardIndex:
     """Inverted BM25 index of one shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, owners, weights = [], [], []
-        self.query: list[np.ndarray] = []
-        for i, ids in enumerate(docs):
-            term, count = distinct(ids)
-            weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / mean))
-            self.query.append(term)
-            terms.append(term)
-            owners.append(np.full(len(term), i))
-            weights.append(weight)
-        flat = np.concatenate(terms)
-        order = np.argsort(flat, kind="stable")
-        self.terms, at, counts = np.unique(flat[order], return_index=True, return_counts=True)
-        self.at, self.ends = at, at + counts
-        self.owners = np.concatenate(owners)[order]
-        self.weights = np.concatenate(weights)[order]
+        lengths = np.array([len(d) for d in docs], np.int64)
+        terms, owners, counts = occurrences(np.concatenate(docs), lengths)
+        weights = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[owners] / mean))
+        at = np.flatnonzero(np.concatenate([[len(terms) > 0], terms[1:] != terms[:-1]]))
+        self.terms, n_owners = terms[at], np.diff(at, append=len(terms))
+        order = np.argsort(owners.astype(np.uint16 if len(docs) <= 0x10000 else np.int64), kind="stable")
+        self.query = np.split(terms[order], np.cumsum(np.bincount(owners, minlength=len(docs)))[:-1])
         self.n = len(docs)
+        # a term of many documents has a row with a weight for each document, others have lists
+        often = n_owners * OFTEN >= self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.n))
+        row = np.repeat(self.row, n_owners)
+        listed = row < 0
+        self.rows[row[~listed], owners[~listed]] = weights[~listed]
+        self.owners, self.weights = owners[listed], weights[listed]
+        self.lengths = np.where(often, 0, n_owners)
+        self.at = np.cumsum(self.lengths) - self.lengths
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
         slot = np.searchsorted(self.terms, self.query[seed])
-        lists = [slice(a, b) for a, b in zip(self.at[slot].tolist(), self.ends[slot].tolist(), strict=True)]
-        return np.bincount(np.concatenate([self.owners[x] for x in lists]), np.concatenate([self.weights[x] for x in lists]), self.n)
+        row = self.row[slot]
+        rare = slot[row < 0]
+        lengths = self.lengths[rare]
+        at = np.repeat(self.at[rare], lengths) + runs(lengths)
+        return np.bincount(self.owners[at], self.weights[at], self.n) + self.rows[row[row >= 0]].sum(0)
 
 
 def fill_windows(docs: list[np.ndarray], index: ShardIndex, size: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -160,9 +175,9 @@ def signature_ranks(weight: np.ndarray) -> np.ndarray:
 
 def signatures(blobs: pa.Array, ranks: np.ndarray) -> np.ndarray:
     """The least place in each order of the ids of every document; no document is without ids."""
-    docs = [np.frombuffer(b.as_buffer(), "<u2") for b in blobs]
-    starts = np.cumsum([0, *map(len, docs)])[:-1]
-    flat = np.concatenate(docs)
+    flat, lengths = joined(blobs.to_pylist())
+    starts = np.cumsum(lengths) - lengths
+    flat = flat.astype(np.intp)
     return np.stack([np.minimum.reduceat(r[flat], starts) for r in ranks])
 
 

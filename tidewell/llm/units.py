@@ -12,9 +12,11 @@ Python sees each distinct unit of a batch once.
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import os
 import re
+import string
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -24,15 +26,19 @@ import pyarrow.compute as pc
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x00]|  |\\n\\n| \\n|\\n "
 
-_OPEN, _NONE = pa.scalar("\n\n", pa.large_string()), pa.scalar("", pa.large_string())
+_OPEN, _NONE, _SPACE = (pa.scalar(s, pa.large_string()) for s in ("\n\n", "", "\0"))
 
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_STOPS = ".,;:!?"
+#: Marks that may stand behind a word; those of special tokens and contractions are not among them.
+_STOPS = "".join(c for c in string.punctuation if c not in "'<>|")
+_STOPPED = f"[{_LETTERS}][{re.escape(_STOPS)}]+$"
 _LATIN = re.compile(f"[ \\n][{_LETTERS}]+").fullmatch
 _LATIN_UNIT = f"\\A[ \\n][{_LETTERS}]+\\z"
+_LATIN_KEY = f"\\A\\n{{0,2}}[{_LETTERS}]+\\z"
 
 #: Distinct words that a worker keeps ids of; the cache starts anew beyond it.
 MAX_WORDS = 300_000
+MAX_STOPS = 10_000
 
 
 def split_units(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -73,11 +79,13 @@ class UnitEncoder:
 
     ``encode_units`` gets unit texts and returns the bytes of each unit's ids. A unit that is a
     word with stops behind it is two: both vocabularies cut there, so the word's ids serve with
-    and without its stops.
+    and without its stops. With ``fold``, for vocabularies of lower-case words without the white
+    space around them, a word of Latin letters is one in upper and lower case and wherever it stands.
     """
 
-    def __init__(self, encode_units: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], fold: bool = False):
         self.encode_units = encode_units
+        self.fold = fold
         self.words: dict[str, bytes] = {}
         self.stops: dict[str, bytes] = {}
 
@@ -91,15 +99,21 @@ class UnitEncoder:
         """The bytes of the ids of each text."""
         if len(self.words) > MAX_WORDS:
             self.words.clear()
+        if len(self.stops) > MAX_STOPS:
+            self.stops.clear()
         units, n_units = split_units(texts)
         keys = units.dictionary
-        marked = pc.match_substring_regex(keys, f"[{_LETTERS}][{_STOPS}]+$")
-        bare = pc.if_else(marked, pc.utf8_rtrim(keys, _STOPS), keys).dictionary_encode()
+        marked = pc.match_substring_regex(keys, _STOPPED)
+        bare = pc.if_else(marked, pc.utf8_rtrim(keys, _STOPS), keys)
+        if self.fold:
+            bare = pc.if_else(pc.match_substring_regex(bare, _LATIN_KEY), pc.utf8_lower(pc.utf8_ltrim(bare, "\n")), bare)
+        bare = bare.dictionary_encode()
         words = strings(bare.dictionary)
-        known = self.words
-        unseen = [w for w in words if w not in known]
-        known.update(zip(unseen, self.encode_units(list(map(unit_text, unseen))), strict=True))
-        of_word = list(map(known.__getitem__, words))
+        of_word = list(map(self.words.get, words))
+        unseen = [i for i, ids in enumerate(of_word) if ids is None]
+        new = [words[i] for i in unseen]
+        for i, word, ids in zip(unseen, new, self.encode_units(list(map(unit_text, new))), strict=True):
+            of_word[i] = self.words[word] = ids
         # words with stops behind them come after the words
         stopped, at = np.flatnonzero(marked), bare.indices.to_numpy().copy()
         for i, key in zip(at[stopped].tolist(), strings(keys.filter(marked)), strict=True):
@@ -171,35 +185,30 @@ def library_encoder(name: str) -> UnitEncoder:
             weight[i] = token.endswith("</w>") if word_ends else len(token)
         line_end = b"" if word_ends else vocab[letters[0x0A]].to_bytes(2, "little")
 
-        def spelled(units: pa.Array) -> list[str]:
-            words = pc.utf8_slice_codeunits(units, 1)
-            words = pc.utf8_lower(words) if word_ends else words
-            out = strings(words)
-            for i in np.flatnonzero(pc.invert(pc.string_is_ascii(words))).tolist():
-                out[i] = "".join(map(spell, out[i].encode()))
-            if not word_ends:
-                opens = pc.starts_with(units, "\n").to_pylist()
-                out = [w if at_line else letters[0x20] + w for w, at_line in zip(out, opens, strict=True)]
-            return out
+        # bytes of words to letters; the space cuts words and \x00 stands for the one that belongs to a word
+        spelling = "".join(letters[0x20] if b == 0 else " " if b == 0x20 else c for b, c in enumerate(letters))
+
+        def spelled(words: list[str]) -> str:
+            return codecs.charmap_decode(" ".join(words).encode(), "strict", spelling)[0]
 
         def one_by_one(tok: Tokenizer, units: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
-        def encode_words(words: list[str]) -> list[bytes]:
+        def encode_words(words: list[str], lengths: np.ndarray) -> list[bytes]:
             out: list[bytes] = []
             for at in range(0, len(words), 64 * _TOGETHER):
-                groups = [words[i : i + _TOGETHER] for i in range(at, min(len(words), at + 64 * _TOGETHER), _TOGETHER)]
-                joined = model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-                for group, e in zip(groups, joined, strict=True):
+                starts = range(at, min(len(words), at + 64 * _TOGETHER), _TOGETHER)
+                joined = model.encode_batch_fast([spelled(words[i : i + _TOGETHER]) for i in starts], add_special_tokens=False)
+                for start, e in zip(starts, joined, strict=True):
                     got = np.array(e.ids, "<u2")
                     so_far = np.cumsum(weight[got])
-                    due = np.arange(1, len(group) + 1) if word_ends else np.cumsum([len(w) for w in group])
+                    due = np.cumsum(lengths[start : start + _TOGETHER])
                     cuts = np.searchsorted(so_far, due) + 1
                     if so_far[-1] == due[-1] and (so_far[cuts - 1] == due).all():
                         raw, ends = got.tobytes(), (2 * cuts).tolist()
                         out += [raw[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
                     else:
-                        out += one_by_one(model, group)
+                        out += one_by_one(model, [spelled([w]) for w in words[start : start + _TOGETHER]])
             return out
 
         def encode_units(units: list[str]) -> list[bytes]:
@@ -207,15 +216,22 @@ def library_encoder(name: str) -> UnitEncoder:
             column = pa.array(units, pa.large_string())
             latin = pc.match_substring_regex(column, _LATIN_UNIT)
             easy, rest = (np.flatnonzero(m.to_numpy(zero_copy_only=False)).tolist() for m in (latin, pc.invert(latin)))
-            for i, ids in zip(easy, encode_words(spelled(column.filter(latin))), strict=True):
-                out[i] = line_end + ids if units[i][0] == "\n" else ids
+            column = column.filter(latin)
+            words = pc.utf8_slice_codeunits(column, 1)
+            if word_ends:
+                words = pc.utf8_lower(words)
+            else:
+                words = pc.binary_join_element_wise(pc.if_else(pc.starts_with(column, "\n"), _NONE, _SPACE), words, _NONE)
+            lengths = np.ones(len(words), np.int64) if word_ends else pc.binary_length(words).to_numpy()
+            for i, ids in zip(easy, encode_words(strings(words), lengths), strict=True):
+                out[i] = line_end + ids if line_end and units[i][0] == "\n" else ids
             for at in range(0, len(rest), 4096):
                 some = rest[at : at + 4096]
                 for i, ids in zip(some, one_by_one(whole, [units[i] for i in some]), strict=True):
                     out[i] = ids
             return out
 
-        _LOADED[name] = UnitEncoder(encode_units)
+        _LOADED[name] = UnitEncoder(encode_units, fold=word_ends)
     return _LOADED[name]
 
 
