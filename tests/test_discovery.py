@@ -1,5 +1,6 @@
 """Discovery on boards, and the grid of places near many centres."""
 
+import itertools
 import math
 import os
 import random
@@ -147,3 +148,17 @@ def test_regional_search_compares_equal_circles_and_spots_once(spark, monkeypatc
     got = places.regional(jobs, centres, jobs.limit(0), "id").select("centre.id", "posting.id", "distance_km").collect()
     assert sorted(map(tuple, got)) == sorted((c, i, [0.0, 11.1][i % 3]) for c in range(20) for i in range(60) if i % 3 < 2)
     assert seen == [(2, 3)]
+
+
+def test_a_crowded_spot_is_dealt_and_its_postings_meet_centres_in_one_order(spark, monkeypatch):
+    monkeypatch.setattr(places, "CROWD", 20)
+    cols = "latitude double, longitude double"
+    spots = [(-0.0, 0.0)] * 200 + [(0.0, 0.0)] * 200 + [(0.1, 0.0)] * 5 + [(95.0, 0.0)]
+    jobs = spark.createDataFrame([(i, "", "", "", *p, "", "") for i, p in enumerate(spots)], f"id long, location string, workplace_type string, title string, {cols}, city_hint string, country_hint string")
+    centres = spark.createDataFrame([(i, i / 100, 0.0, 12.0) for i in range(8)], f"id int, {cols}, radius_km double")
+    got = places.regional(jobs, centres, jobs.limit(0), "id").select(F.spark_partition_id().alias("task"), "posting.id", F.col("centre.id").alias("centre"), "distance_km").collect()
+    assert sorted((r.centre, r.id, r.distance_km) for r in got) == sorted((c, i, round(d, 1)) for c in range(8) for i, p in enumerate(spots) if (d := km(c / 100, 0.0, *p)) <= 12)
+    assert len({r.task for r in got if r.id < 400}) > 1
+    runs = [(k, tuple(r.centre for r in g)) for k, g in itertools.groupby(got, lambda r: (r.task, r.id))]
+    assert len(runs) == 405
+    assert all(len({c for (task, i), c in runs if task == t and i < 400}) == 1 for t in {task for (task, i), _ in runs if i < 400})
