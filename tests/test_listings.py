@@ -1,5 +1,7 @@
 """HTML pages as elements, and the cards of listing pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tidewell.functions import urls as U
 from tidewell.operators import pages as P
 from tidewell.sources import cards as C
 from tidewell.sources import html as H
+from tidewell.sources import tree as R
 
 
 def pages(spark, *html):
@@ -109,3 +112,42 @@ def test_programmes(spark):
 def test_pages_are_not_merged_into_few_tasks(spark):
     plan = H.elements(pages(spark, "<p>a"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [key#" in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')}" in plan.split("RepartitionByExpression")[1].split("\n")[0]
+
+
+def test_pages_are_read_as_their_tokens_say(spark):
+    draw = random.Random(5)
+    parts = ["<p>", "</p>", "<b class='T x'>", "</b>", "<i>", "</i>", "<a href=/x&amp;y>", "<A HREF=\"/q'>\">", "</a >", "<br/>", "</br>", "<li CLASS = k>", "</LI>", "<script x>var a='<b>'</script>", "</script>", "<style>", "<!-- <b> -->", "<!doctype html>", "<!--", "<", "a < b", "</", " \u00a0\u2003 ", "&nbsp;x  y\n", "&eacute;&#0;&#x1F44D;&nope;&amp;lt;", "\x1cz", "<a\u00e9 href>", "<\u017fcript>t"]
+    html = ["".join(draw.choices(parts, k=draw.randrange(30))) for _ in range(150)]
+    told = {}
+    for t in H.tokens(pages(spark, *html), "page_id", "html").where("not (kind = -1 and empty)").orderBy("key", "at").collect():
+        told.setdefault(t.key, []).append(t)
+    for i, page in enumerate(html):
+        found, texts = R.page_elements(page)
+        assert [(e[0], *e[2:5]) for e in found] == [(t.at, t.name, t.href, t.classes) for t in told.get(i, []) if t.kind == 1]
+        assert texts == [t.text for t in told.get(i, []) if t.kind == 0]
+        for j, e in enumerate(found):
+            assert e[5] == sum(t.kind == 0 and t.at < e[0] for t in told[i]) and e[6] == sum(t.kind == 0 and t.at < e[1] for t in told[i])
+            assert e[7] == j + 1 and e[8] == max(e[7], sum(x[0] < e[1] for x in found))
+            if e[9] is not None:
+                assert e[9] == [k for k in reversed(range(j)) if found[k][1] > e[0]]
+
+
+def test_a_deep_page_costs_no_more_than_its_tokens(spark, monkeypatch):
+    monkeypatch.setattr(R, "TOKENS", 100)
+    deep = "<div>" * 200 + "<a href=x>1</a>" + "<a href=y>2" * 50
+    [row] = H.elements(pages(spark, "", deep, None)).collect()
+    assert all(e.up is None for e in row.elements) and H.links(pages(spark, deep), blocks=("div",)).where("block = 'div'").count() == 51
+    batches = list(R.read_pages(iter([R.pa.RecordBatch.from_pydict({"key": list(range(9)), "html": ["<i>a</i>" * 30, None, "", *["<p>"] * 6]})])))
+    assert [b.num_rows for b in batches] == [7] and batches[0].column(0).to_pylist() == [0, 3, 4, 5, 6, 7, 8]
+    assert [b.num_rows for b in R.read_pages(iter([R.pa.RecordBatch.from_pydict({"key": list(range(4)), "html": ["<i>a</i>" * 60] * 4})]))] == [1] * 4
+
+
+def test_cards_are_decoded_without_windows_over_tokens(spark):
+    plan = H.decode_cards(pages(spark, "<p>a"), C.PORTAL, "99jobs")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "explode(regexp_extract_all" not in plan
+
+
+def test_white_space_and_accents_of_mixed_texts(spark):
+    texts = ["\u00c1 b\u00a0\u00a0c \ufb01x", "a  b", "\ta\u2003\u00e9\u0301", "\u00bd \u1e9b\u0323 Zo\u00eb", "plain", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.normalize(F.col("t"))).collect()]
+    assert got == ["a b c fix", "a b", "a e", "1\u20442 s zoe", "plain", "", ""]

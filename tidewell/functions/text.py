@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from html.entities import name2codepoint
 from operator import or_
@@ -13,6 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """A function of a value: an array of one element holds the value, which each of its uses would compute anew."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _ranges(characters: Iterable[str]) -> str:
     """The inside of a character class."""
     codes, out = sorted(map(ord, characters)), []
@@ -42,6 +47,8 @@ def _decompositions() -> tuple[str, str, dict[str, str], str]:
 
 _ACCENTED, _BASE, _SEVERAL, _MARKS = _decompositions()
 _LATIN_END = "\u0250"
+#: White space that is not a single space.
+_WIDE = "  |[\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 _PARTS = "\x1f".join(f"{c}\x1e{parts}" for c, parts in _SEVERAL.items())
 
 
@@ -68,14 +75,15 @@ def normalize(text: Column) -> Column:
     Characters of the basic plane are decomposed (NFKD): accented letters become their base, ligatures and signs the
     characters that they stand for, and combining marks are removed. Texts of ASCII alone are only put in lower case.
     """
-    return F.trim(F.regexp_replace(_bare(text), "(?U)\\s+", " "))
+    # most texts have single spaces already
+    return F.trim(once(_bare(text), lambda bare: F.when(bare.rlike(_WIDE), F.regexp_replace(bare, "(?U)\\s+", " ")).otherwise(bare)))
 
 
 def _bare(text: Column) -> Column:
     """:func:`normalize` before white space is collapsed."""
-    # an array of one element holds the lower case, which a filter would compute for each of its uses
-    bare = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda lower: F.when(lower.rlike(r"[^\x00-\x7F]"), _decomposed(lower)).otherwise(lower))
-    return F.get(bare, F.lit(0))
+    # runs of ASCII, most of a text, stay as they are
+    runs = lambda lower: F.array_join(F.transform(F.regexp_extract_all(lower, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]+"), F.lit(0)), lambda run: F.when(run >= "\x80", _decomposed(run)).otherwise(run)), "")
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda lower: F.when(lower.rlike(r"[^\x00-\x7F]"), runs(lower)).otherwise(lower))
 
 
 def canonical(text: Column) -> Column:

@@ -8,6 +8,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import once
+
 #: Query parameters that only track a visit.
 TRACKING = r"(?s)^(fbclid|gclid|mc_cid|mc_eid|utm_.*)$"
 #: Query parameters and path segments that name one posting.
@@ -149,16 +151,19 @@ def resolved(base: Column, href: Column) -> Column:
 
 def _absolute(scheme: Column, host: Column, path: Column, query: Column, href: Column) -> Column:
     root, folder = F.concat(scheme, F.lit("://"), host), F.concat(F.regexp_replace(path, r"/?[^/]*\z", ""), F.lit("/"))
-    link = F.regexp_replace(F.trim(href), "(?s)#.*", "")
-    whole = (
-        F.when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(link == "", F.concat(root, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
-        .when(link.startswith("?"), F.concat(root, path, link))
-        .otherwise(F.concat(root, folder, link))
-    )
-    return F.when(whole.rlike(r"/\.\.?(?:[/?]|\z)"), _without_dots(whole)).otherwise(whole)
+
+    def whole(link: Column) -> Column:
+        return (
+            F.when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(root, link))
+            .when(link == "", F.concat(root, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+            .when(link.startswith("?"), F.concat(root, path, link))
+            .otherwise(F.concat(root, folder, link))
+        )
+
+    made = once(F.regexp_replace(F.trim(href), "(?s)#.*", ""), whole)
+    return once(made, lambda url: F.when(url.rlike(r"/\.\.?(?:[/?]|\z)"), _without_dots(url)).otherwise(url))
 
 
 def _without_dots(url: Column) -> Column:

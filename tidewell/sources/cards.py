@@ -29,11 +29,18 @@ def _last(text: Column, pattern: str, group: int) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
+def _label(text: Column, rules: tuple) -> Column:
+    return T.once(text, lambda held: T.first_match(held, rules, None))
+
+
 def without_first(text: Column, part: Column) -> Column:
     """A text with the first occurrence of a part taken out, white space collapsed."""
-    at = F.instr(text, part)
-    cut = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(" "), F.substring(text, at + F.length(part), F.length(text)))
-    return F.trim(F.regexp_replace(F.when((at > 0) & (part != ""), cut).otherwise(text), r"\s+", " "))
+
+    def cut(at: Column) -> Column:
+        rest = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(" "), F.substring(text, at + F.length(part), F.length(text)))
+        return F.when((at > 0) & (part != ""), rest).otherwise(text)
+
+    return F.trim(F.regexp_replace(T.once(F.instr(text, part), cut), r"\s+", " "))
 
 
 def _titled(slug: Column) -> Column:
@@ -42,6 +49,7 @@ def _titled(slug: Column) -> Column:
 
 # One portal whose postings lie on its own hosts or elsewhere --------------------------------------------------
 
+_PORTAL_BASE = "https://www.99jobs.com/opportunities/search"
 _PORTAL_HOST = r"(?i)^https?://(?:[^/?#]*\.)?99jobs\.com(?::\d+)?(?:[/?#]|$)"
 _PORTAL_ID = r"(?i)^[^?]*/(?:jobs|vagas)/(\d+)(?:[-/?]|$)"
 
@@ -55,14 +63,25 @@ def _portal_url(url: Column) -> Column:
     return F.when(url.rlike(_PORTAL_HOST), F.regexp_replace(url, r"\?.*$", "")).otherwise(U.canonical_url(url))
 
 
-def _lone_posting(x: Column, all_elements: Column, _: Column) -> Column:
-    one = F.size(F.filter(inside(all_elements, x, "a"), lambda a: a["posting"])) == 1
-    return x["card_class"] | (x["name"].isin("li", "article") & one)
+def _card_class(e: Column) -> Column:
+    return has_class(e["classes"], "opportunity", "card")
+
+
+def _posting(e: Column) -> Column:
+    # an address names a posting only where the link does
+    address = F.when((e["name"] == "a") & e["href"].rlike("(?i)(?:jobs|vagas)/"), U.joined(_PORTAL_BASE, e["href"]))
+    return (e["name"] == "a") & (_card_class(e) | F.coalesce(address.rlike(_PORTAL_ID), F.lit(False)))
+
+
+def _lone_posting(x: Column, *_) -> Column:
+    inner = F.slice(F.col("postings"), x["starts"] + 1, x["inner_end"] - x["starts"])
+    return _card_class(x) | (x["name"].isin("li", "article") & (F.size(F.filter(inner, lambda p: p)) == 1))
 
 
 def _portal_looks(e: Column, all_elements: Column, texts: Column) -> Column:
     telling = F.lower(inner_text(texts, e)).rlike("eu quero|ver oportunidade|presencial|remot[oa]|h[ií]brid[oa]")
-    return e["own_class"] | (telling & (F.size(inside(all_elements, e, *HEADINGS)) > 0))
+    own = F.coalesce(e["classes"].rlike(r"(?:^|\s)opportunity-card(?:\s|$)"), F.lit(False))
+    return own | (telling & (F.size(inside(all_elements, e, *HEADINGS)) > 0))
 
 
 def portal_company(row: Row) -> Column:
@@ -85,20 +104,16 @@ def portal_company(row: Row) -> Column:
 
 def portal_location(row: Row) -> Column:
     """City and state after the last word for a workplace."""
-    rest = F.regexp_replace(row["description"], PLACE_MARKS, "")
-    city, state = (F.regexp_extract(rest, r"([A-Za-zÀ-ÿ .'-]{2,60}?)\s*(?:,|-)\s*([A-Z]{2})(?![\wÀ-ÿ])", i) for i in (1, 2))
-    return F.when(state != "", F.concat(F.trim(city), F.lit(", "), state)).otherwise("")
+    parts = lambda rest: (F.regexp_extract(rest, r"([A-Za-zÀ-ÿ .'-]{2,60}?)\s*(?:,|-)\s*([A-Z]{2})(?![\wÀ-ÿ])", i) for i in (1, 2))
+    told = lambda rest: T.once(F.struct(*(p.alias(n) for n, p in zip(("city", "state"), parts(rest)))), lambda t: F.when(t["state"] != "", F.concat(F.trim(t["city"]), F.lit(", "), t["state"])).otherwise(""))
+    return T.once(F.regexp_replace(row["description"], PLACE_MARKS, ""), told)
 
 
 PORTAL = CardShape(
-    base="https://www.99jobs.com/opportunities/search",
+    base=_PORTAL_BASE,
     link=r"(?i)^https?://",
-    marks={
-        "card_class": lambda name, address, classes: has_class(classes, "opportunity", "card"),
-        "own_class": lambda name, address, classes: F.coalesce(classes.rlike(r"(?:^|\s)opportunity-card(?:\s|$)"), F.lit(False)),
-        "posting": lambda name, address, classes: F.coalesce(address.rlike(_PORTAL_ID), F.lit(False)) | has_class(classes, "opportunity", "card"),
-    },
-    card=(lambda e, *_: F.when(e["card_class"], e), nearest(levels=4, when=_lone_posting)),
+    marks={"postings": _posting},
+    card=(lambda e, *_: F.when(_card_class(e), e), nearest(levels=4, when=_lone_posting)),
     fall_back_to_link=True,
     title=("link", "card", "text"),
     clean_url=_portal_url,
@@ -109,8 +124,8 @@ PORTAL = CardShape(
         "rest": lambda row: without_first(row["description"], row["title"]),
         "company": portal_company,
         "location": portal_location,
-        "employment_type": lambda row: T.first_match(F.lower(row["description"]), PORTAL_LEVELS, None),
-        "workplace_type": lambda row: T.first_match(F.lower(row["description"]), PORTAL_PLACES, None),
+        "employment_type": lambda row: _label(F.lower(row["description"]), PORTAL_LEVELS),
+        "workplace_type": lambda row: _label(F.lower(row["description"]), PORTAL_PLACES),
     },
 )
 
@@ -171,16 +186,18 @@ def text_location(text: Column) -> Column:
     for pattern in (r"([A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ][A-Za-zÀ-ÿ .'-]{1,80})\s*[,/|\-]\s*([A-Z]{2})(?![\wÀ-ÿ])", r"([A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ][A-Za-zÀ-ÿ .'-]{1,80}),\s*([A-Z]{2}),\s*Brasil(?![\wÀ-ÿ])"):
         city = F.regexp_replace(_last(text, pattern, 1), r"^[ \-|,]+|[ \-|,]+$", "")
         city = F.trim(F.regexp_replace(city, r"(?i)^.*(?<![\wÀ-ÿ])(?:Estágio|Trainee|Aprendiz|Presencial|Híbrido|Remoto|place)(?![\wÀ-ÿ])", ""))
-        out = F.coalesce(out, F.when(city != "", F.concat(city, F.lit(", "), _last(text, pattern, 2))))
+        state = _last(text, pattern, 2)
+        out = F.coalesce(out, F.concat(F.nullif(city, F.lit("")), F.lit(", "), state))
     return F.coalesce(out, F.lit(""))
 
 
 def regional_location(text: Column) -> Column:
     """City and state before a word for the workplace; a company in capitals before the city is left out."""
     pattern = r"(?i)([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ .'-]{1,80})\s*/\s*([A-Z]{2})\s+(?:Presencial|H[ií]brido|Remoto)(?![\wÀ-ÿ])"
-    city, state = F.regexp_replace(_last(text, pattern, 1), r"^.*\.\.\.", ""), F.upper(_last(text, pattern, 2))
-    bare = F.when(F.trim(city).rlike(r"\p{Ll}"), F.regexp_replace(F.trim(city), r"^(?:[^\p{Ll}\s]*\p{Lu}[^\p{Ll}\s]*\s+)+(?=.)", "")).otherwise(F.trim(city))
-    return F.coalesce(F.when(state != "", F.concat(bare, F.lit(", "), state)), text_location(text))
+    city = F.trim(F.regexp_replace(_last(text, pattern, 1), r"^.*\.\.\.", ""))
+    bare = lambda c: F.when(c.rlike(r"\p{Ll}"), F.regexp_replace(c, r"^(?:[^\p{Ll}\s]*\p{Lu}[^\p{Ll}\s]*\s+)+(?=.)", "")).otherwise(c)
+    told = T.once(_last(text, pattern, 2), lambda state: F.when(state != "", F.concat(T.once(city, bare), F.lit(", "), F.upper(state))))
+    return F.coalesce(told, text_location(text))
 
 
 REGIONAL = CardShape(
@@ -195,8 +212,10 @@ REGIONAL = CardShape(
     fields={
         "company": lambda row: F.lit("IEL / empresa anunciante"),
         "location": lambda row: regional_location(row["description"]),
-        "employment_type": lambda row: T.first_match(T.normalize(F.concat_ws(" ", F.regexp_extract(row["url"], r"(?i)/vaga/([^/?]+)/\d+", 1), row["description"])), LEVELS, None),
-        "workplace_type": lambda row: T.first_match(T.normalize(row["description"]), PLACES, None),
+        "plain": lambda row: T.normalize(row["description"]),
+        # the blank between keeps words of the two apart
+        "employment_type": lambda row: _label(F.concat_ws(" ", T.normalize(F.regexp_extract(row["url"], r"(?i)/vaga/([^/?]+)/\d+", 1)), row["plain"]), LEVELS),
+        "workplace_type": lambda row: _label(row["plain"], PLACES),
         "salary": lambda row: _found(row["description"], r"(?i)(R\$\s*[\d.]+(?:,\d{2})?)"),
         "published_at": lambda row: F.date_format(F.try_to_date(F.regexp_extract(row["description"], r"(?<!\d)(\d{2}/\d{2}/\d{4})(?!\d)", 1), "dd/MM/yyyy"), "yyyy-MM-dd"),
     },
@@ -211,8 +230,8 @@ ADVERTISED = CardShape(
     identity=lambda url: F.concat(F.lit("walljobs:"), U.native_id(url)),
     fields={
         "company": lambda row: F.lit("WallJobs / empresa anunciante"),
-        "location": lambda row: text_location(without_first(row["description"], row["title"])),
-        "employment_type": lambda row: T.first_match(T.normalize(row["description"]), LEVELS, None),
+        "location": lambda row: T.once(without_first(row["description"], row["title"]), text_location),
+        "employment_type": lambda row: _label(T.normalize(row["description"]), LEVELS),
         "salary": lambda row: _found(row["description"], r"(?i)(R\$\s*[\d.]+(?:,\d{2})?)"),
     },
 )
@@ -262,12 +281,12 @@ def programmes(pages: DataFrame, base: str = "https://www.ciadeestagios.com.br/v
     An action that says that entries are closed ends the search. The address is the action's, else that of the first
     link beside the heading.
     """
-    found = elements(pages, key, html, {"address": F.when(F.col("name").isin("a", "button"), U.joined(base, F.col("href")))})
+    found = elements(pages, key, html)
     tags = found.select("key", "elements", "texts", F.posexplode(F.filter("elements", lambda e: e["name"].isin("a", "button", "h2", "h3"))).alias("nth", "e"))
     label = inner_text(F.col("texts"), F.col("e"))
     parent = F.get(ancestors(F.col("elements"), F.col("e")), F.lit(0))
-    beside = F.get(F.filter(inside(F.col("elements"), parent, "a"), lambda a: a["address"].isNotNull()), F.lit(0))["address"]
-    rows = tags.select("key", "nth", F.col("e.name").alias("name"), F.col("e.address").alias("address"), label.alias("label"), F.when(F.col("e.name").isin("h2", "h3"), beside).alias("beside")).withColumn("plain", F.regexp_replace(T.normalize(F.col("label")), "-", " "))
+    beside = U.joined(base, F.get(F.filter(inside(F.col("elements"), parent, "a"), lambda a: a["href"].isNotNull()), F.lit(0))["href"])
+    rows = tags.select("key", "nth", F.col("e.name").alias("name"), F.when(F.col("e.name").isin("a", "button"), U.joined(base, F.col("e.href"))).alias("address"), label.alias("label"), F.when(F.col("e.name").isin("h2", "h3"), beside).alias("beside")).withColumn("plain", F.regexp_replace(T.normalize(F.col("label")), "-", " "))
     head = F.col("name").isin("h2", "h3") & T.normalize(F.col("label")).rlike(PROGRAMMES)
     rows = next_actions(rows, "key", "nth", head, F.col("plain").rlike(f"{CLOSED}|{OPEN}"), 20)
     actions = rows.select("key", F.col("nth").alias("action"), F.col("address").alias("target"), F.col("plain").rlike(CLOSED).alias("closed"))

@@ -1,11 +1,11 @@
 """HTML pages as elements, and listing cards as posting rows.
 
 A page becomes two arrays: its elements in order of their start tags, each with the end of its extent, and its pieces
-of text. Tags are tokenised by one expression; an element's end is the closing tag at its own depth among tags of its
-name (running sums over the page's tokens), and an element that is never closed ends where the closed element around
-it does. Elements carry how many texts and elements precede their start and end, so that what lies inside one is a
-slice of the arrays and what encloses it is found by containment of intervals. Everything stays inside the JVM; pages
-are shuffled once by key and one page's tokens are sorted in one task.
+of text. A helper reads each page once, in tasks, from Arrow batches (:mod:`tidewell.sources.tree`): an element's end is
+the closing tag at its own depth among tags of its name, and an element that is never closed ends where the closed
+element around it does. Elements carry how many texts and elements precede their start and end, so that what lies inside
+one is a slice of the arrays; what encloses it is found by containment of intervals. All rules on elements and cards are
+columns. Pages are shuffled once by key.
 
 A closing tag whose start lies outside the enclosing element is matched by name all the same. Scripts, styles,
 comments and declarations hold no text. A null page has no elements. Keys name pages: rows that share one count once.
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions import urls as U
+from tidewell.sources.tree import ELEMENTS, VOID, read_pages
 
-#: Elements without content, and those whose content is no text.
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 HEADINGS = ("h1", "h2", "h3", "h4")
 
 _TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\z)|</?[a-z][^\s/>]*+[^'">]*+(?:(?:"[^"]*+"|'[^']*+')[^'">]*+)*+>|<[!?][^>]*+>|[^<]++|<"""
@@ -34,47 +33,33 @@ def settled(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return rows.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def _dealt(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key and html, one row for each key."""
+    # A page's tokens take many times its bytes and its cards much more time: a count that is named is not merged by bytes.
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key"])
+
+
 def tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, at, kind (1 start, -1 end, 0 text), name, href, classes, text, empty (an element that has no content)."""
-    # A page's tokens take many times its bytes and its cards much more time: a count that is named is not merged by bytes.
-    found = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key"])
+    found = _dealt(pages, key, html)
     each = found.select("key", F.posexplode(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))).alias("at", "token"))
     name = F.when(F.col("token").startswith("<"), F.lower(F.regexp_extract("token", r"\A</?([A-Za-z][^\s/>]*)", 1)))
     each = settled(each, each.columns, name=F.nullif(name, F.lit(""))).where("name is null or name not in ('script', 'style')").where("name is not null or not (token like '<!%' or token like '<?%')")
     kind = F.when(F.col("name").isNull(), 0).when(F.col("token").startswith("</"), -1).otherwise(1)
     plain = F.when(F.col("name").isNull(), F.trim(F.regexp_replace(T.unescape(F.col("token")), r"(?U)\s+", " ")))
     each = settled(each, ["key", "at", "name"], kind=kind, text=plain, token=F.when(kind == 1, F.col("token"))).where("name is not null or text <> ''")
-    empty = F.col("token").endswith("/>") | F.col("name").isin(*VOID)
+    empty = F.col("token").endswith("/>") | F.col("name").isin(*sorted(VOID))
     return each.select("key", "at", "kind", "name", "text", F.coalesce(empty, F.lit(False)).alias("empty"), attribute(F.col("token"), "href").alias("href"), F.lower(attribute(F.col("token"), "class")).alias("classes"))
 
 
-def elements(pages: DataFrame, key: str = "page_id", html: str = "html", marks: dict[str, Column] | None = None) -> DataFrame:
-    """key, ``elements`` (at, stop, name, href, classes, marks and the counts that slices need) and ``texts`` of each page.
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, ``elements`` (at, stop, name, href, classes and the counts that slices need) and ``texts`` of each page.
 
-    ``marks`` are columns over name, href and classes that become fields of the elements.
+    A link has the places of the elements around it as ``up``, unless they are many.
     """
-    rows = tokens(pages, key, html).where("not (kind = -1 and empty)").withColumns(marks or {})
-    page, own = Window.partitionBy("key").orderBy("at"), Window.partitionBy("key", "name").orderBy("at")
-    whole_page = Window.partitionBy("key")
-    rows = rows.withColumns({"texts": F.count("text").over(page).cast("int"), "starts": F.count_if(F.col("kind") == 1).over(page).cast("int")})
-    rows = rows.withColumn("page_end", F.struct((F.max("at").over(whole_page) + 1).alias("at"), F.max("texts").over(whole_page).alias("texts"), F.max("starts").over(whole_page).alias("starts")))
-    # Depth among tags of one name; a closing tag below all before it closes nothing.
-    rows = rows.withColumn("sum", F.sum(F.when(F.col("empty"), 0).otherwise(F.col("kind"))).over(own))
-    least = F.least(F.lit(0), F.coalesce(F.min("sum").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("least", least).where((F.col("kind") != -1) | (F.col("sum") >= F.col("least")))
-    rows = rows.withColumn("level", F.col("sum") - F.col("least") + F.when(F.col("kind") == -1, 1).otherwise(0))
-    place = F.struct("at", "texts", "starts")
-    following = F.lead(F.when(F.col("kind") == -1, place)).over(Window.partitionBy("key", "name", "empty", "level").orderBy("at"))
-    rows = rows.withColumn("end", F.when(F.col("kind") == 1, F.when(F.col("empty"), place).otherwise(following)))
-    # An element that nothing closes ends with the closed one around it: the next end at the same depth.
-    opens = (F.col("kind") == 1) & F.col("end").isNotNull() & ~F.col("empty")
-    rows = rows.withColumn("depth", F.sum(F.when(opens, 1).when(F.col("kind") == -1, -1).otherwise(0)).over(page) + F.when(F.col("kind") == -1, 1).otherwise(0))
-    after = Window.partitionBy("key", "depth").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    around = F.last(F.when(F.col("kind") == -1, place), ignorenulls=True).over(after)
-    rows = rows.withColumn("end", F.when(F.col("kind") == 1, F.coalesce("end", around, "page_end")))
-    start = F.struct("at", F.col("end.at").alias("stop"), "name", "href", "classes", *(marks or {}), "texts", F.col("end.texts").alias("texts_end"), F.col("end.starts").alias("inner_end"))
-    pieces = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text"))))
-    return rows.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("kind") == 1, start))).alias("elements"), F.transform(pieces, lambda t: t["text"]).alias("texts"))
+    found = _dealt(pages, key, html)
+    kind = found.schema["key"].dataType.simpleString()
+    return found.mapInArrow(read_pages, f"key {kind}, {ELEMENTS}")
 
 
 def attribute(of: Column, name: str) -> Column:
@@ -94,14 +79,15 @@ def inner_texts(texts: Column, e: Column) -> Column:
 
 
 def inside(all_elements: Column, e: Column, *names: str) -> Column:
-    """Elements of some names within an element, in order; its own place in the array is the number of starts up to it."""
-    within = F.filter(F.slice(all_elements, 1, e["inner_end"]), lambda x: (x["at"] > e["at"]) & (x["at"] < e["stop"]))
+    """Elements of some names within an element, in order: those that start between its start and its end."""
+    within = F.slice(all_elements, e["starts"] + 1, e["inner_end"] - e["starts"])
     return F.filter(within, lambda x: x["name"].isin(*names)) if names else within
 
 
 def ancestors(all_elements: Column, e: Column) -> Column:
     """Elements around an element, nearest first."""
-    return F.reverse(F.filter(all_elements, lambda x: (x["at"] < e["at"]) & (x["stop"] > e["at"])))
+    sought = F.reverse(F.filter(F.slice(all_elements, 1, e["starts"] - 1), lambda x: x["stop"] > e["at"]))
+    return F.when(e["up"].isNotNull(), F.transform(e["up"], lambda i: F.get(all_elements, i))).otherwise(sought)
 
 
 def first(items: Column) -> Column:
@@ -151,7 +137,7 @@ def has_class(classes: Column, *words: str) -> Column:
 class CardShape:
     """How one source lists postings: which links count, what card a link lies in, and what the card's text says.
 
-    ``marks`` are flags of elements over (name, address, classes) that rules may ask for. Functions of ``title`` sources,
+    ``marks`` are flags of elements: rules find them as columns, arrays that have one for each element. Functions of ``title`` sources,
     ``keep`` and ``fields`` get a row: address, url, title, description, pieces, looks and the fields before them.
     """
 
@@ -161,7 +147,7 @@ class CardShape:
     #: Rules for the card in order; the link's parent is the last resort, or the link itself.
     card: tuple[Rule, ...]
     fall_back_to_link: bool = False
-    marks: dict[str, Callable[[Column, Column, Column], Column]] = field(default_factory=dict)
+    marks: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     #: Where to look for the title, in order: headings of the "link", of the "card", the link's "text", the address's "slug".
     title: tuple[str, ...] = ("card",)
     headings: tuple[str, ...] = HEADINGS
@@ -184,25 +170,26 @@ def decode_cards(pages: DataFrame, shape: CardShape, source: str, key: str = "pa
 
     Of the links of a page with one id the first counts. Links without title or id are left out; a null page has none.
     """
-    address = U.joined(shape.base, F.col("href"))
-    marks = {"address": F.when(F.col("name") == "a", address), **{n: f(F.col("name"), F.col("address"), F.col("classes")) for n, f in shape.marks.items()}}
-    found = elements(pages, key, html, marks)
-    each = found.select("key", "elements", "texts", F.posexplode(F.filter("elements", lambda e: e["address"].rlike(shape.link))).alias("nth", "e"))
+    found = elements(pages, key, html).withColumns({n: F.transform("elements", of) for n, of in shape.marks.items()})
+    is_link = lambda e: (e["name"] == "a") & e["href"].isNotNull()
+    addressed = F.transform(F.filter("elements", is_link), lambda e: F.struct(e.alias("e"), U.joined(shape.base, e["href"]).alias("address")))
+    each = found.select(*found.columns, F.posexplode(F.filter(addressed, lambda x: x["address"].rlike(shape.link))).alias("nth", "link")).select(*found.columns, "nth", "link.*")
     e, all_elements, texts = F.col("e"), F.col("elements"), F.col("texts")
     each = settled(each, each.columns, up=ancestors(all_elements, e))
     last = e if shape.fall_back_to_link else first(F.col("up"))
     each = settled(each, each.columns, card=F.coalesce(*(rule(e, all_elements, texts) for rule in shape.card), last, e))
     heading = lambda x: F.nullif(first(F.filter(F.transform(inside(all_elements, x, *shape.headings), lambda h: inner_text(texts, h)), shape.heading)), F.lit(""))
-    titles = {"link": heading(e), "card": heading(F.col("card")), "text": F.nullif(inner_text(texts, e), F.lit("")), "slug": shape.slug(F.col("e.address")) if shape.slug else F.lit(None)}
+    titles = {"link": heading(e), "card": heading(F.col("card")), "text": F.nullif(inner_text(texts, e), F.lit("")), "slug": shape.slug(F.col("address")) if shape.slug else F.lit(None)}
     looks = shape.looks(e, all_elements, texts) if shape.looks else F.lit(True)
     title = F.coalesce(*(titles[t] for t in shape.title), F.lit(""))
-    rows = settled(each, ["key", "nth", "e.address"], looks=looks, title=title, description=inner_text(texts, F.col("card")), pieces=inner_texts(texts, F.col("card")))
+    rows = settled(each, ["key", "nth", "address"], looks=looks, title=title, description=inner_text(texts, F.col("card")), pieces=inner_texts(texts, F.col("card")))
     row: Row = {n: F.col(n) for n in ("address", "url", "title", "description", "pieces", "looks")}
     rows = settled(rows, rows.columns, url=shape.clean_url(F.col("address")) if shape.clean_url else F.col("address"))
     rows = settled(rows, rows.columns, source_job_id=F.nullif(shape.identity(F.col("url")) if shape.identity else F.regexp_extract("address", shape.link, 1), F.lit("")))
     kept = (F.col("title") != "") & F.col("source_job_id").isNotNull()
     rows = rows.where(kept & shape.keep(row) if shape.keep else kept)
-    # A page's links are in one task already.
+    # Fields take longest: they are computed in as many tasks as pages are read in.
+    rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("key", "source_job_id").orderBy("nth"))).where("turn = 1")
     for name, f in shape.fields.items():
         rows = rows.withColumn(name, f(row).cast("string"))
